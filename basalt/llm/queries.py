@@ -3,10 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import held_out, score_documents, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, score_documents, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "severity", "p_toxic", "toxic_predicted")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a document lies in a directory of its source, by its id's thousands and hundreds."""
+    from .common import Scratch
+    from .licenses import inherit, scan
+
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), (F.col("doc_id") / 1000).cast("long"), (F.col("doc_id") / 100).cast("long"), "doc_id")
+    files = docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+    return inherit(Scratch(spark).put(scan(files))).withColumnRenamed("file_id", "doc_id")
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sitetree import extract_text
 
@@ -29,7 +57,7 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, digest=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op6_html_extraction, op8_chat_formatting, op10_bpe_encoding)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op6_html_extraction, op7_toxicity, op8_chat_formatting, op9_license_scan, op10_bpe_encoding)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
