@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .linededup import SQL as LINE_DEDUP_SQL
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,18 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inherit(Scratch(spark).put(scan(files))).withColumnRenamed("file_id", "doc_id")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sitetree import extract_text
 
@@ -57,7 +70,7 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, digest=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op6_html_extraction, op7_toxicity, op8_chat_formatting, op9_license_scan, op10_bpe_encoding)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_line_dedup, op6_html_extraction, op7_toxicity, op8_chat_formatting, op9_license_scan, op10_bpe_encoding)}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}
