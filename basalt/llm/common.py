@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast only below this many rows (a few MB of narrow rows).
 BROADCAST_ROWS = 50_000
+#: Edges up to which components are finished in one task (some ten MB there).
+ONE_TASK_EDGES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,15 +68,63 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """Rows of each run of equal leading key columns, as column lists; the input is sorted by the keys."""
+    last, held = None, None
+    for b in batches:
+        cols = [c.to_pylist() for c in b.columns]
+        for row in zip(*cols):
+            if row[:keys] != last:
+                if held:
+                    yield held
+                last, held = row[:keys], [[] for _ in row]
+            for c, v in zip(held, row):
+                c.append(v)
+    if held:
+        yield held
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (root, vertex) that connect what the task's edges connect; a root is the smallest id of its tree."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = z = up[y]
+            x = z
+        return x
+
+    def drain() -> pa.RecordBatch:
+        pairs = [(find(x), x) for x in list(up)]
+        a, b = [p for p, q in pairs if p != q], [q for p, q in pairs if p != q]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = find(x), find(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        if len(up) > 2 * ONE_TASK_EDGES:  # bounded memory: hand on what is known and start anew
+            yield drain()
+            up.clear()
+    yield drain()
+
+
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, comp), comp the smallest id reached.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): every step is one grouped
     minimum with map-side combine and one join, so that a vertex of huge degree is never gathered;
-    the number of steps grows with the logarithm of the longest path.
+    the number of steps grows with the logarithm of the longest path.  Each task first reduces its own
+    edges to a spanning forest; what is left is finished in one task where it has at most
+    ONE_TASK_EDGES edges, with the same result.
     """
     scratch = scratch or Scratch(spark)
-    e = scratch.put(edges.where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct())
+    e = scratch.put(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a bigint, b bigint"))
+    if e.count() <= ONE_TASK_EDGES:
+        e = scratch.put(e.repartition(1).mapInArrow(_forest, "a bigint, b bigint"))
+        return e.selectExpr("b AS id", "a AS comp").unionByName(e.selectExpr("a AS id", "a AS comp").distinct())
+    e = scratch.put(e.distinct())
     before = None
     while True:
         # large star: each vertex hands its larger neighbours to its smallest neighbour

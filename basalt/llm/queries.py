@@ -48,6 +48,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sigtree import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .itq import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sitetree import extract_text
 
@@ -70,7 +82,7 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, digest=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_line_dedup, op6_html_extraction, op7_toxicity, op8_chat_formatting, op9_license_scan, op10_bpe_encoding)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_line_dedup, op4_ngram_jaccard, op5_embedding_dedup, op6_html_extraction, op7_toxicity, op8_chat_formatting, op9_license_scan, op10_bpe_encoding)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}
