@@ -14,7 +14,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from functools import lru_cache
+from html import unescape
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -25,9 +26,8 @@ from pyspark.sql import functions as F
 from .common import small
 
 # Element names by their part in a page.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg math iframe object audio video canvas select option button textarea datalist".split())
 NOISE_TAGS = frozenset("nav footer aside form header menu dialog search fieldset".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies notice notices alert consent gdpr popup modal overlay newsletter subscribe subscription signup comment comments reply replies respond disqus share sharing social related recommended widget toolbar login search pagination pager skip".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -43,89 +43,99 @@ TRUST, LEAST = 20, 5
 SPACE = re.compile(r"\s+")
 
 
-class _Page(HTMLParser):
-    """Blocks of text with the style path of each: tag.classes#id of every open block element."""
+#: Markup: comments, elements whose content is no text (to their end tag), tags, declarations.
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|iframe|select|svg|math|object|audio|video|canvas|button|datalist)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""",
+    re.S | re.I,
+)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+))""")
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+
+class _Page:
+    """Blocks of text with the style path of each: tag.classes#id@role of every open block element."""
+
+    def __init__(self, html: str):
         self.stack: list[tuple[str, str]] = []
-        self.hidden: list[str] = []
         self.blocks: list[tuple[tuple[str, ...], str]] = []
         self.children: list[tuple[tuple[str, ...], str]] = []
         self.text: list[str] = []
-        self.main = False
+        self.path: tuple[str, ...] = ()
+        self.main = self.head = False
+        end = 0
+        for m in TOKEN.finditer(html):
+            if m.start() > end and not self.head:
+                self.text.append(html[end : m.start()])
+            end = m.end()
+            if tag := m[3]:
+                tag = tag.lower()
+                if m[2]:
+                    self.close(tag)
+                else:
+                    self.open(tag, m[4])
+        if end < len(html) and not self.head:
+            self.text.append(html[end:])
+        self.flush()
 
     def flush(self) -> None:
         if self.text:
-            text = SPACE.sub(" ", "".join(self.text)).strip()
+            text = "".join(self.text)
             self.text = []
+            text = " ".join(SPACE.split(unescape(text) if "&" in text else text)).strip()
             if text:
-                self.blocks.append((tuple(s for _, s in self.stack), text))
-
-    def handle_starttag(self, tag, attrs):
-        if self.hidden:
-            if tag not in VOID:
-                self.hidden.append(tag)
-            if tag == "body":  # the head was left open
-                self.hidden = []
-            else:
-                return
-        if tag in HIDDEN:
-            self.hidden.append(tag)
-            return
+                self.blocks.append((self.path, text))
+
+    def cut(self, k: int) -> None:
+        del self.stack[k:]
+        self.path = tuple(s for _, s in self.stack)
+
+    def open(self, tag: str, rest: str) -> None:
         if tag == "br":
             self.text.append(" ")
-        if tag not in BLOCKS:
+        if tag == "head":
+            self.head = True
+        elif tag == "body" or tag in BLOCKS:
+            self.head = False
+        if tag not in BLOCKS or tag == "body":
             return
         self.flush()
         while self.stack and self.stack[-1][0] == "p":
-            self.stack.pop()
+            self.cut(-1)
         if tag in CLOSES:
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k][0] in SCOPE[tag]:
                     break
                 if self.stack[k][0] in CLOSES[tag]:
-                    del self.stack[k:]
+                    self.cut(k)
                     break
-        if tag in VOID or tag in ("html", "body"):
+        if tag in VOID:
             return
-        a = dict(attrs)
-        names = sorted({*(a.get("class") or "").lower().split()})
-        label = tag + "".join(f".{n}" for n in names) + (f"#{a['id'].lower()}" if a.get("id") else "") + (f"@{a['role'].lower()}" if a.get("role") else "")
-        label = label.replace("/", "_")
-        self.children.append((tuple(s for _, s in self.stack), label))
+        label = tag
+        if "=" in rest:
+            a: dict[str, str] = {}
+            for name, *values in ATTRIBUTE.findall(rest):
+                a.setdefault(name.lower(), unescape("".join(values)).lower())
+            label += "".join(f".{n}" for n in sorted({*a.get("class", "").split()})) + (f"#{a['id']}" if a.get("id") else "") + (f"@{a['role']}" if a.get("role") else "")
+            label = label.replace("/", "_")
+        self.children.append((self.path, label))
         self.stack.append((tag, label))
-        self.main |= tag in MAIN or label.endswith("@main")
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
+        self.path = (*self.path, label)
+        self.main = self.main or tag in MAIN or label.endswith("@main")
 
-    def handle_endtag(self, tag):
-        if self.hidden:
-            if tag in self.hidden:
-                del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag) :]
-            return
-        if tag in ("html", "body") or tag not in BLOCKS:
+    def close(self, tag: str) -> None:
+        if tag == "head":
+            self.head = False
+        if tag not in BLOCKS or tag == "body":
             return
         self.flush()
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
-                del self.stack[k:]
+                self.cut(k)
                 break
 
-    def handle_data(self, data):
-        if not self.hidden:
-            self.text.append(data)
-
 
 def parse(html: str | None) -> _Page:
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    page.flush()
-    return page
+    return _Page(html or "")
 
 
 def host_of(url: str | None) -> str:
@@ -135,6 +145,7 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+@lru_cache(100_000)
 def _in_main(path: tuple[str, ...]) -> bool:
     return any(re.match(r"(article|main)\b", s) or s.endswith("@main") for s in path)
 
@@ -238,12 +249,9 @@ def extract_text(pages: DataFrame, threshold: float = THRESHOLD, text: str = "te
             for html, paths in zip(b["__html"], b["__paths"]):
                 key = () if paths is None else tuple(sorted(paths))
                 bad = known.setdefault(key, frozenset(key))
-                page, lines = parse(html), []
-                for path, t in page.blocks:
-                    if page.main and not _in_main(path):
-                        continue
-                    if not any("/".join(path[:k]) in bad for k in range(1, len(path) + 1)):
-                        lines.append(t)
+                page = parse(html)
+                drop = {p: page.main and not _in_main(p) or any("/".join(p[:k]) in bad for k in range(1, len(p) + 1)) for p in {p for p, _ in page.blocks}}
+                lines = [t for p, t in page.blocks if not drop[p]]
                 out.append("\n".join(lines))
             b = b[keep].copy()
             b[text], b["n_chars"] = out, [len(t) for t in out]
