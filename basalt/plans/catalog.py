@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def register(name: str, sql: str | None = None):
+    """Decorator: the query of this name, with its SQL."""
+
     def put(f):
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = f
         if sql:
             ORACLE_SQL[name] = sql
@@ -19,22 +30,22 @@ def register(name: str, sql: str | None = None):
     return put
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def register_sql(name: str, spark_sql: str, oracle: str | None = None) -> None:
+    """A query in Spark SQL over the tables it names; oracle: other SQL for the same rows, if it is spelled differently."""
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", spark_sql)]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in used:
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(spark_sql)
+
+    run.__name__ = name
+    register(name, oracle or spark_sql)(run)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import aggregation, functions, relational, special, tpch, windowing  # noqa: F401
 
 
-@register(
-    "tpch_q1_pricing_summary",
-    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-    round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
-    FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus""",
-)
-def tpch_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_shipdate <= TIMESTAMP_NTZ '1998-09-02 00:00:00'")
-    return li.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
-        F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"),
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"),
-        F.round(F.avg("l_discount"), 6).alias("avg_disc"),
-        F.count("*").alias("count_order"),
-    )
+load()
