@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 def _batch(f, kind: str):
     """A NULL-strict Column function that maps values batch by batch."""
 
-    @F.pandas_udf(kind)
-    def run(*cols: pd.Series) -> pd.Series:
-        out = [None if any(v is None or v != v for v in row) else f(*row) for row in zip(*cols)]
-        return pd.Series(out, dtype=object)
+    def call(*columns: Column) -> Column:
+        def run(*cols: pd.Series) -> pd.Series:
+            out = [None if any(v is None or v != v for v in row) else f(*row) for row in zip(*cols)]
+            return pd.Series(out, dtype=object)
 
-    return run
+        run.__annotations__ = {"cols": pd.Series, "return": pd.Series}
+        return F.pandas_udf(run, kind)(*columns)
+
+    return call
 
 
 def _iface(s: str):

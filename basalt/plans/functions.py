@@ -95,7 +95,7 @@ def numeric(spark, sf_dir):
     )
 
 
-register_sql("fn_trigonometry", "SELECT p_partkey, round(sin(p_size), 9) AS a, round(cos(p_size), 9) AS b, round(tan(p_size), 7) AS c, round(asin(p_size / 60.0), 9) AS d, round(acos(p_size / 60.0), 9) AS e, round(atan(p_size), 9) AS f, round(atan2(p_size, 3), 9) AS g, round(cbrt(p_size), 9) AS h, round(degrees(p_size), 7) AS i, round(radians(p_size), 9) AS j, round(sinh(p_size / 20.0), 8) AS k, round(tanh(p_size / 20.0), 9) AS l, round(pi(), 12) AS m FROM part")
+register_sql("fn_trigonometry", "SELECT p_partkey, round(sin(p_size), 9) AS a, round(cos(p_size), 9) AS b, round(tan(p_size), 7) AS c, round(asin(CAST(p_size AS DOUBLE) / 60), 9) AS d, round(acos(CAST(p_size AS DOUBLE) / 60), 9) AS e, round(atan(p_size), 9) AS f, round(atan2(p_size, 3), 9) AS g, round(cbrt(p_size), 9) AS h, round(degrees(p_size), 7) AS i, round(radians(p_size), 9) AS j, round(sinh(CAST(p_size AS DOUBLE) / 20), 8) AS k, round(tanh(CAST(p_size AS DOUBLE) / 20), 9) AS l, round(pi(), 12) AS m FROM part")
 
 
 @register("fn_width_bucket_nulls", "SELECT p_partkey, CAST(CASE WHEN p_size < 10 THEN 0 WHEN p_size >= 40 THEN 6 ELSE floor((p_size - 10) / 6.0) + 1 END AS BIGINT) AS w, CASE WHEN p_size = 5 THEN 1 ELSE 0 END AS nn, CASE WHEN p_size = 5 THEN 1 ELSE 2 END AS k, greatest(p_size, 10) AS g, least(p_size, NULLIF(p_size, 5)) AS l FROM part")
@@ -136,7 +136,7 @@ def date_trunc(spark, sf_dir):
 
 @register(
     "fn_interval_age",
-    """SELECT event_id, datepart('year', a) * 12 + datepart('month', a) AS months, datepart('day', a) AS days, CAST((epoch(a) - epoch(to_months(CAST(datepart('year', a) * 12 + datepart('month', a) AS INT))) - datepart('day', a) * 86400) AS BIGINT) AS secs
+    """SELECT event_id, datepart('year', a) * 12 + datepart('month', a) AS months, datepart('day', a) AS days, (datepart('hour', a) * 3600 + datepart('minute', a) * 60 + datepart('second', a))::BIGINT AS secs
     FROM (SELECT event_id, age(ts, TIMESTAMP '2020-02-01 00:00:00') AS a FROM events)""",
 )
 def age(spark, sf_dir):
@@ -166,8 +166,8 @@ _ARR = "[p_size, p_size % 3, NULLIF(p_size, 5), 7]"
 
 @register(
     "fn_arrays",
-    f"""SELECT p_partkey, len(a) AS n, a[1] AS first, list_position(a, 7) AS pos, array_to_string(list_transform(list_filter(a, x -> x IS DISTINCT FROM 7), x -> coalesce(x::VARCHAR, '?')), ',') AS removed,
-    array_to_string(list_transform(list_append(a, 9), x -> coalesce(x::VARCHAR, '?')), ',') AS appended, array_to_string(list_transform(a[2:3], x -> coalesce(x::VARCHAR, '?')), ',') AS slice, list_contains(a, 2) AS has2 FROM (SELECT p_partkey, {_ARR} AS a FROM part)""",
+    f"""SELECT p_partkey, len(a) AS n, a[1] AS first, list_position(a, 7) AS pos, array_to_string(list_transform(list_filter(a, lambda x: x IS DISTINCT FROM 7), lambda x: coalesce(x::VARCHAR, '?')), ',') AS removed,
+    array_to_string(list_transform(list_append(a, 9), lambda x: coalesce(x::VARCHAR, '?')), ',') AS appended, array_to_string(list_transform(a[2:3], lambda x: coalesce(x::VARCHAR, '?')), ',') AS slice, list_contains(a, 2) AS has2 FROM (SELECT p_partkey, {_ARR} AS a FROM part)""",
 )
 def arrays(spark, sf_dir):
     s = F.col("p_size")
@@ -274,7 +274,7 @@ def regexp_matches(spark, sf_dir):
 
 @register(
     "fn_vector",
-    """SELECT vec_id, round(list_distance(e, q), 6) AS l2, round(1 - list_cosine_similarity(e, q), 6) AS c, round(list_inner_product(e, q), 6) AS ip, round(list_sum(list_transform(list_zip(e, q), z -> abs(z[1] - z[2]))), 5) AS l1,
+    """SELECT vec_id, round(list_distance(e, q), 6) AS l2, round(1 - list_cosine_similarity(e, q), 6) AS c, round(list_inner_product(e, q), 6) AS ip, round(list_sum(list_transform(list_zip(e, q), lambda z: abs(z[1] - z[2]))), 5) AS l1,
     len(e)::INT AS d, round(sqrt(list_inner_product(e, e)), 6) AS n FROM (SELECT vec_id, embedding::DOUBLE[] AS e, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7) AS q FROM embeddings)""",
 )
 def vector(spark, sf_dir):

@@ -10,10 +10,14 @@ from pyspark.sql.types import StructType
 ESCAPES = (("b", "\b"), ("f", "\f"), ("n", "\n"), ("r", "\r"), ("t", "\t"), ("v", "\v"))
 
 
+def _each(parts: Column, old: str, new: str) -> Column:
+    return F.transform(parts, lambda s: F.replace(s, F.lit(old), F.lit(new)))
+
+
 def _unescape(c: Column) -> Column:
     parts = F.split(c, r"\\\\", -1)
     for letter, char in ESCAPES:
-        parts = F.transform(parts, lambda s, a=letter, b=char: F.replace(s, F.lit("\\" + a), F.lit(b)))
+        parts = _each(parts, "\\" + letter, char)
     return F.array_join(F.transform(parts, lambda s: F.regexp_replace(s, r"\\(.)", "$1")), "\\")
 
 
