@@ -181,7 +181,11 @@ def regexp_split_to_array(s: Column, pattern: str, flags: str = "") -> Column:
 
 
 def similar_to(s: Column, pattern: str) -> Column:
-    """SIMILAR TO: % and _ as in LIKE, the rest as a regular expression over the whole text."""
+    return s.rlike(similar_pattern(pattern))
+
+
+def similar_pattern(pattern: str) -> str:
+    """A SIMILAR TO pattern as a regular expression: % and _ as in LIKE, over the whole text."""
     out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
@@ -191,4 +195,4 @@ def similar_to(s: Column, pattern: str) -> Column:
             continue
         out.append({"%": "(?s:.*)", "_": "(?s:.)", ".": r"\.", "^": r"\^", "$": r"\$"}.get(c, c))
         i += 1
-    return s.rlike("^(?:" + "".join(out) + ")$")
+    return "^(?:" + "".join(out) + ")$"
