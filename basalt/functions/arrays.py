@@ -97,3 +97,17 @@ def contains(a: Column, b: Column) -> Column:
 def overlaps(a: Column, b: Column) -> Column:
     """a && b."""
     return F.coalesce(F.arrays_overlap(F.filter(a, lambda x: x.isNotNull()), F.filter(b, lambda x: x.isNotNull())), F.lit(False))
+
+
+def any_of(op: str, x: Column, a: Column) -> Column:
+    """x op ANY (a): three-valued, False for an empty array."""
+    return F.exists(a, lambda e: _compare(op, x, e))
+
+
+def all_of(op: str, x: Column, a: Column) -> Column:
+    """x op ALL (a): three-valued, True for an empty array."""
+    return F.forall(a, lambda e: _compare(op, x, e))
+
+
+def _compare(op: str, x: Column, e: Column) -> Column:
+    return {"=": x == e, "<>": x != e, "<": x < e, "<=": x <= e, ">": x > e, ">=": x >= e}[op]

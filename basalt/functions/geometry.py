@@ -81,3 +81,36 @@ def box_contains(b: Column, p: Column) -> Column:
 
 def box_overlaps(a: Column, b: Column) -> Column:
     return (a["low"]["x"] <= b["high"]["x"]) & (b["low"]["x"] <= a["high"]["x"]) & (a["low"]["y"] <= b["high"]["y"]) & (b["low"]["y"] <= a["high"]["y"])
+
+
+def lseg(a: Column, b: Column) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"))
+
+
+def same_as(a: Column, b: Column) -> Column:
+    """a ~= b of points."""
+    return (a["x"] == b["x"]) & (a["y"] == b["y"])
+
+
+def _direction(s: Column) -> tuple[Column, Column]:
+    return s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
+
+
+def parallel(s: Column, t: Column) -> Column:
+    (ax, ay), (bx, by) = _direction(s), _direction(t)
+    return ax * by == ay * bx
+
+
+def perpendicular(s: Column, t: Column) -> Column:
+    (ax, ay), (bx, by) = _direction(s), _direction(t)
+    return ax * bx + ay * by == 0
+
+
+def intersects(s: Column, t: Column) -> Column:
+    """s ?# t: two segments cross or touch, by the signs of four turns."""
+    turn = lambda p, q, r: F.sign((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
+    within = lambda p, q, r: (r["x"] >= F.least(p["x"], q["x"])) & (r["x"] <= F.greatest(p["x"], q["x"])) & (r["y"] >= F.least(p["y"], q["y"])) & (r["y"] <= F.greatest(p["y"], q["y"]))
+    a, b, c, d = s["a"], s["b"], t["a"], t["b"]
+    o1, o2, o3, o4 = turn(a, b, c), turn(a, b, d), turn(c, d, a), turn(c, d, b)
+    touch = ((o1 == 0) & within(a, b, c)) | ((o2 == 0) & within(a, b, d)) | ((o3 == 0) & within(c, d, a)) | ((o4 == 0) & within(c, d, b))
+    return ((o1 != o2) & (o3 != o4)) | touch

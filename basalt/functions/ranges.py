@@ -103,3 +103,21 @@ def to_text(r: Column) -> Column:
     return F.when(r["empty"], F.lit("empty")).otherwise(
         F.concat(F.when(r["lower_inc"], "[").otherwise("("), side(r["lower"]), F.lit(","), side(r["upper"]), F.when(r["upper_inc"], "]").otherwise(")"))
     )
+
+
+def not_right_of(a: Column, b: Column) -> Column:
+    """a &< b: a does not extend to the right of b."""
+    hi = b["upper"].isNull() | (a["upper"].isNotNull() & ((a["upper"] < b["upper"]) | ((a["upper"] == b["upper"]) & (b["upper_inc"] | ~a["upper_inc"]))))
+    return ~a["empty"] & ~b["empty"] & F.coalesce(hi, F.lit(False))
+
+
+def not_left_of(a: Column, b: Column) -> Column:
+    """a &> b: a does not extend to the left of b."""
+    lo = b["lower"].isNull() | (a["lower"].isNotNull() & ((a["lower"] > b["lower"]) | ((a["lower"] == b["lower"]) & (b["lower_inc"] | ~a["lower_inc"]))))
+    return ~a["empty"] & ~b["empty"] & F.coalesce(lo, F.lit(False))
+
+
+def periods_overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
+    """(s1, e1) OVERLAPS (s2, e2): half-open periods in either order; an instant counts as one point."""
+    a, b, c, d = F.least(s1, e1), F.greatest(s1, e1), F.least(s2, e2), F.greatest(s2, e2)
+    return F.when(a == c, True).when(a < c, c < b).otherwise(a < d)

@@ -196,3 +196,18 @@ def similar_pattern(pattern: str) -> str:
         out.append({"%": "(?s:.*)", "_": "(?s:.)", ".": r"\.", "^": r"\^", "$": r"\$"}.get(c, c))
         i += 1
     return "^(?:" + "".join(out) + ")$"
+
+
+def regex_match(s: Column, pattern: str, insensitive: bool = False, negated: bool = False) -> Column:
+    """The ~, ~*, !~ and !~* operators."""
+    out = s.rlike(("(?i)" if insensitive else "") + pattern)
+    return ~out if negated else out
+
+
+def encrypt(s: Column, key: Column) -> Column:
+    """Hex of AES-GCM under the SHA-256 of the key."""
+    return F.lower(F.hex(F.aes_encrypt(F.encode(s, "UTF-8"), F.unhex(F.sha2(key, 256)))))
+
+
+def decrypt(s: Column, key: Column) -> Column:
+    return F.decode(F.aes_decrypt(F.unhex(s), F.unhex(F.sha2(key, 256))), "UTF-8")
