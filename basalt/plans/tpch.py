@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .catalog import register, register_sql, table
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+def revenue():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 @register(
@@ -18,7 +19,7 @@ REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
 def q1(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").where("l_shipdate <= TIMESTAMP_NTZ '1998-09-02 00:00:00'")
     return li.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"), F.round(F.sum(REVENUE), 2).alias("sum_disc_price"),
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"), F.round(F.sum(revenue()), 2).alias("sum_disc_price"),
         F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("count_order"),
     )
 
@@ -34,7 +35,7 @@ def q3(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderdate < TIMESTAMP_NTZ '1997-03-15 00:00:00'").select("o_orderkey", "o_custkey", "o_orderdate")
     li = table(spark, sf_dir, "lineitem").where("l_shipdate > TIMESTAMP_NTZ '1995-03-15 00:00:00'").select("l_orderkey", "l_extendedprice", "l_discount")
     j = li.join(o.join(c, o.o_custkey == c.c_custkey), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.groupBy("l_orderkey", "o_orderdate").agg(F.round(F.sum(REVENUE), 2).alias("revenue")).orderBy(F.desc("revenue"), "o_orderdate", "l_orderkey").limit(10).select("l_orderkey", "revenue", "o_orderdate")
+    return j.groupBy("l_orderkey", "o_orderdate").agg(F.round(F.sum(revenue()), 2).alias("revenue")).orderBy(F.desc("revenue"), "o_orderdate", "l_orderkey").limit(10).select("l_orderkey", "revenue", "o_orderdate")
 
 
 @register(
@@ -50,7 +51,7 @@ def q5(spark, sf_dir):
     o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     li = t("lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount")
     j = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
-    return j.groupBy("n_name").agg(F.round(F.sum(REVENUE), 2).alias("revenue"))
+    return j.groupBy("n_name").agg(F.round(F.sum(revenue()), 2).alias("revenue"))
 
 
 register_sql(
