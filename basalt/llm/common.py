@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -58,9 +59,12 @@ class Scratch:
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
+        """Delete written tables, and let the cleaner remove shuffle files of finished jobs."""
         for df in dfs:
             if path := getattr(df, "_scratch_path", None):
                 _delete(self.spark, path)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -71,15 +75,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
     """Rows of each run of equal leading key columns, as column lists; the input is sorted by the keys."""
     last, held = None, None
-    for b in batches:
-        cols = [c.to_pylist() for c in b.columns]
-        for row in zip(*cols):
-            if row[:keys] != last:
-                if held:
-                    yield held
-                last, held = row[:keys], [[] for _ in row]
-            for c, v in zip(held, row):
-                c.append(v)
+    for whole in batches:
+        for k in range(0, whole.num_rows, 256):  # wide rows: few at a time as Python objects
+            for row in zip(*(c.to_pylist() for c in whole.slice(k, 256).columns)):
+                if row[:keys] != last:
+                    if held:
+                        yield held
+                    last, held = row[:keys], [[] for _ in row]
+                for c, v in zip(held, row):
+                    c.append(v)
     if held:
         yield held
 

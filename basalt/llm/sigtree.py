@@ -10,9 +10,10 @@ common tree only if the prefix filter lets them link at all:
     that another has too links with nothing.  This leaves the documents with near copies.
 2.  Equal sets are one class.  Classes that share such a hash, directly or through others, form a
     block; every link lies inside one block.
-3.  Blocks are split into chunks of bounded size.  Each chunk's tree is joined with itself; chunk
-    leaders are joined next; then the trees of any two chunks are joined for what is still in
-    different components.  Pairs that are already connected are skipped: only components count.
+3.  The tree of a block is joined with itself.  In a block too large for one tree, documents of an
+    equal smallest hash meet first, in three rounds of other hashes.  What then still has three
+    quarters of its shingles in other components of its block is put into chunks, and the trees of
+    any two chunks are joined.  Pairs that are already connected are skipped: only components count.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ SHINGLE = 5
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Documents and shingles of a chunk, about.
-CHUNK, CHUNK_SHINGLES = 1024, 1 << 21
+CHUNK, CHUNK_SHINGLES = 1024, 1 << 19
+#: Rounds in which the documents of large blocks meet those of an equal smallest (salted) hash, before the exact last step.
+ROUNDS = 3
 LEAF, FAN = 16, 8
 #: A table of ids is broadcast up to this many rows (a few ten MB).
 ID_ROWS = 500_000
@@ -240,14 +243,18 @@ def _prefixes(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key1, key2, h): the sorted shingle hashes as bytes, and 128 bits of hash over them."""
+    """(doc_id, n, key1, key2, h, m): the sorted shingle hashes as bytes, 128 bits of hash over them, smallest salted hashes."""
+    salts = [np.uint64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(1, ROUNDS + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(shingle_sets(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "h"])
+            least = [[int(mix(s ^ salt).min().view(np.int64)) if len(s) else 0 for salt in salts] for s in sets]
+            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(least, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "h", "m"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, h binary").select("doc_id", "n", F.xxhash64("h").alias("key1"), F.xxhash64(F.lit(1), "h").alias("key2"), "h")
+    out = docs.mapInArrow(run, "doc_id bigint, n bigint, h binary, m array<bigint>")
+    return out.select("doc_id", "n", F.xxhash64("h").alias("key1"), F.xxhash64(F.lit(1), "h").alias("key2"), "h", "m")
 
 
 def _block_edges(sets: DataFrame) -> DataFrame:
@@ -257,7 +264,8 @@ def _block_edges(sets: DataFrame) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             sets = [np.frombuffer(h.as_py(), np.uint64) for h in b.column(1)]
-            size = prefix_size(np.array([len(s) for s in sets], np.int64))
+            n = np.array([len(s) for s in sets], np.int64)
+            size = n - overlap_needed(n) + 1  # linked sets share one of these
             flat, row = np.concatenate([s[:p] for s, p in zip(sets, size)]), np.repeat(np.arange(len(sets)), size)
             order = np.lexsort((ids[row], flat))
             f, r = flat[order], row[order]
@@ -278,6 +286,26 @@ def _block_edges(sets: DataFrame) -> DataFrame:
     return sets.select("doc_id", "h").mapInArrow(run, "kind int, x bigint, y bigint")
 
 
+def _contested(own: DataFrame, lab: DataFrame) -> DataFrame:
+    """The rows of lab (doc_id, block, comp) that can link with another component of their block.
+
+    A document that links with one has three quarters of its shingles in other components.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = pa.array([np.frombuffer(h.as_py(), np.int64) for h in b.column(3)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), lists], names=["doc_id", "block", "comp", "n", "x"])
+
+    rows = own.join(small(lab, ID_ROWS), "doc_id").select("doc_id", "block", "comp", "h", "n")
+    rows = rows.mapInArrow(run, "doc_id bigint, block bigint, comp bigint, n bigint, x array<bigint>")
+    rows = rows.select("doc_id", "block", "comp", "n", F.explode("x").alias("x"))
+    w = Window.partitionBy("block", "x")
+    met = rows.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo <> hi")
+    met = met.groupBy("doc_id", "n").agg(F.count("*").alias("met")).where(F.col("met") * 100 >= F.col("n") * PERCENT)
+    return lab.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs.
 
@@ -298,13 +326,15 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     need = F.least(F.greatest(F.lit(1), F.floor(least / 12)), least)
     alive = base.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "known").join(met, "doc_id", "left").where(F.col("known") + F.coalesce("met", F.lit(0)) >= need)
     alive = scratch.put(alive.select("doc_id").distinct())
-    sets = scratch.put(_sets(docs.join(small(alive, ID_ROWS), "doc_id", "left_semi")))
-    classes = sets.groupBy("n", "key1", "key2").agg(F.min("doc_id").alias("rep"))
-    member = scratch.put(sets.select("doc_id", "n", "key1", "key2").join(classes, ["n", "key1", "key2"]).select("doc_id", "rep").distinct())
+    sizes_of = scratch.put(base.select("doc_id", F.col("n").alias("n_shingles")))
+    scratch.drop(base)
+    keys = scratch.put(_sets(docs.join(small(alive, ID_ROWS), "doc_id", "left_semi")).drop("h", "m"))
+    classes = keys.groupBy("n", "key1", "key2").agg(F.min("doc_id").alias("rep"))
+    member = scratch.put(keys.join(classes, ["n", "key1", "key2"]).select("doc_id", "rep").distinct())
     reps = member.select(F.col("rep").alias("doc_id")).distinct()
-    # one row for each class; a repeated doc_id keeps each of its sets
-    own = scratch.put(sets.join(small(reps, ID_ROWS), "doc_id", "left_semi").dropDuplicates(["doc_id", "n", "key1", "key2"]).select("doc_id", "n", "h"))
-    near = scratch.put(_block_edges(own))
+    # the sets of one document of each class; the rows of a repeated doc_id all stay
+    own = scratch.put(_sets(docs.join(small(reps, ID_ROWS), "doc_id", "left_semi")).select("doc_id", "n", "h", "m"))
+    near = _block_edges(own)
     opened = near.where("kind = 1").select("x", "y").withColumn("m", F.min("y").over(Window.partitionBy("x")))
     edges = near.where("kind = 0").selectExpr("x AS a", "y AS b").unionByName(opened.where("m <> y").selectExpr("m AS a", "y AS b").distinct())
     block = components(spark, edges, scratch).withColumnRenamed("id", "doc_id").withColumnRenamed("comp", "block")
@@ -313,28 +343,31 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     chunks = F.greatest(F.lit(1), F.ceil(F.col("k") / CHUNK), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int")
     sizes = sizes.where("k > 1").select("block", chunks.alias("chunks"))
     placed = scratch.put(sized.join(sizes, "block").select("doc_id", "block", "chunks", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk")).distinct())
-    sets_in = lambda p: p.join(own, "doc_id")
-    e1 = scratch.put(_joined(sets_in(placed).withColumn("comp", F.col("doc_id")).withColumn("side", F.lit(0)), ["block", "chunk"]))
-    split = placed.where("chunks > 1")
-    if split.limit(1).count():
-        comp1 = components(spark, e1, scratch)
-        lab = scratch.put(split.join(comp1.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")))
-        leaders = lab.groupBy("block", "comp").agg(F.min("doc_id").alias("doc_id"), F.max("chunks").alias("was"))
-        many = leaders.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-        led = leaders.join(many, "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.least("chunks", "was")).cast("int"))
-        e2 = scratch.put(_joined(sets_in(led).withColumn("side", F.lit(0)), ["block", "chunk"]))
-        e12 = e1.unionByName(e2)
-        comp2 = components(spark, e12, scratch)
-        lab = scratch.put(split.join(comp2.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")))
-        still = lab.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("block")
-        cells = lab.join(still, "block", "left_semi").select("doc_id", "block", "comp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).where("chunk <> other")
-        cells = cells.withColumn("side", (F.col("chunk") > F.col("other")).cast("int")).withColumn("c1", F.least("chunk", "other")).withColumn("c2", F.greatest("chunk", "other"))
-        e3 = scratch.put(_joined(sets_in(cells), ["block", "c1", "c2"]))
-        edges = e12.unionByName(e3)
-    else:
-        edges = e1
+    scratch.drop()
+    sets_in = lambda p: own.select("doc_id", "h").join(small(p, ID_ROWS), "doc_id")
+    whole = placed.where("chunks = 1").select("doc_id", "block", F.col("doc_id").alias("comp"), F.lit(0).alias("side"))
+    edges = scratch.put(_joined(sets_in(whole), ["block"]))
+    lab = scratch.put(placed.where("chunks > 1").select("doc_id", "block", F.col("doc_id").alias("comp")))
+    if lab.limit(1).count():
+        for r in range(ROUNDS):
+            met = own.select("doc_id", F.col("m")[r].alias("m")).join(small(lab, ID_ROWS), "doc_id")
+            parts = met.groupBy("block", "m").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"), F.count_distinct("comp").alias("c")).where("c > 1").drop("c")
+            met = scratch.put(met.join(parts, ["block", "m"]).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(r)), F.col("parts")).cast("int")).withColumn("side", F.lit(0)))
+            edges = scratch.put(edges.unionByName(_joined(sets_in(met), ["block", "m", "part"])))
+            comp = components(spark, edges, scratch).withColumnRenamed("id", "doc_id")
+            lab = scratch.put(lab.select("doc_id", "block").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")))
+        for _ in range(2):  # the second time without what the first has ruled out
+            lab = scratch.put(_contested(own, lab))
+        left = lab.join(own.select("doc_id", "n"), "doc_id").groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+        lab = scratch.put(lab.join(left.select("block", chunks.alias("chunks")), "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")))
+        same = lab.select("doc_id", "block", "comp", F.col("chunk").alias("c1"), F.col("chunk").alias("c2"), F.lit(0).alias("side"))
+        cells = lab.select("doc_id", "block", "comp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).where("chunk <> other")
+        cells = cells.select("doc_id", "block", "comp", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
+        e3 = scratch.put(_joined(sets_in(same.unionByName(cells)), ["block", "c1", "c2"]))
+        edges = edges.unionByName(e3)
     comp = components(spark, edges.unionByName(member.where("doc_id <> rep").selectExpr("rep AS a", "doc_id AS b")), scratch)
-    out = base.select("doc_id", F.col("n").alias("n_shingles")).join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    scratch.drop(own)
+    out = sizes_of.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
