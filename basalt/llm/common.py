@@ -72,6 +72,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what is made of a batch stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
     """Rows of each run of equal leading key columns, as column lists; the input is sorted by the keys."""
     last, held = None, None

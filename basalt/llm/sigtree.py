@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, groups, small
+from .common import Scratch, components, groups, slices, small
 from .words import Words, mix, pieces
 
 SHINGLE = 5
@@ -218,7 +218,7 @@ def _prefixes(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = list(shingle_sets(b.column(1)))
             n = np.array([len(s) for s in sets], np.int64)
             size = prefix_size(n)
@@ -247,7 +247,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     salts = [np.uint64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(1, ROUNDS + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = list(shingle_sets(b.column(1)))
             least = [[int(mix(s ^ salt).min().view(np.int64)) if len(s) else 0 for salt in salts] for s in sets]
             cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(least, pa.list_(pa.int64()))]
@@ -261,7 +261,7 @@ def _block_edges(sets: DataFrame) -> DataFrame:
     """(kind, x, y): kind 0, an edge between classes of one batch that share a prefix hash; kind 1, hash x of class y."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             sets = [np.frombuffer(h.as_py(), np.uint64) for h in b.column(1)]
             n = np.array([len(s) for s in sets], np.int64)
@@ -293,7 +293,7 @@ def _contested(own: DataFrame, lab: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lists = pa.array([np.frombuffer(h.as_py(), np.int64) for h in b.column(3)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), lists], names=["doc_id", "block", "comp", "n", "x"])
 
