@@ -26,7 +26,7 @@ ITERATIONS = 30
 #: Chance of meeting in some table that a pair at the threshold is given (by the angle of a sign change).
 RECALL = 0.995
 #: Vectors of a bucket that are compared in one piece; larger buckets are split into pairs of pieces.
-CHUNK = 2048
+CHUNK = 256
 
 
 class Rotations:
