@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import Scratch, small
 
 # Element names by their part in a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -190,7 +190,8 @@ def _features(pages: DataFrame) -> DataFrame:
 
 def low_importance(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(host, path, importance) of the branches to remove."""
-    f = _features(pages).groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    scratch = Scratch(pages.sparkSession)
+    f = scratch.put(_features(pages).groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n")))
     both = f.unionByName(f.groupBy("path", "kind", "feature").agg(F.sum("n").alias("n")).withColumn("host", F.lit("*")))
     # kind 0: one child sequence for each page, so their counts add up to the pages that have the node
     styles = F.col("kind") == 0
@@ -206,7 +207,8 @@ def low_importance(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pres = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log(m) * F.col("m") - F.col("s")) / (F.col("m") * F.log(m))))
     content = F.when(F.col("k") == 0, 0.0).otherwise(1 - F.least(F.lit(1.0), F.col("h") / F.col("uses") / F.log(m)))
     w = F.pow(F.lit(GAMMA), F.col("k"))
-    t = t.select("host", "path", "m", (w * pres + (1 - w) * content).alias("importance"))
+    t = scratch.put(t.select("host", "path", "m", (w * pres + (1 - w) * content).alias("importance")))
+    scratch.drop(f)
     every = t.where("host = '*'").select("path", F.col("m").alias("m_all"), F.col("importance").alias("all"))
     trust = F.least(F.lit(1.0), F.col("m") / TRUST)
     t = t.where("host <> '*'").join(small(every), "path").withColumn("importance", trust * F.col("importance") + (1 - trust) * F.col("all"))
@@ -223,7 +225,7 @@ def low_importance(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 keep.append(p == 0 or not main and n_all >= LEAST and own * p < limit)
             yield b.loc[keep, ["host", "path", "importance"]]
 
-    return t.mapInPandas(judge, "host string, path string, importance double")
+    return scratch.put(t.mapInPandas(judge, "host string, path string, importance double"))
 
 
 def extract_text(pages: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
