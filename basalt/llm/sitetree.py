@@ -4,9 +4,9 @@ The DOMs of one host are merged into a tree of presentation nodes (tag, classes,
 content features are the texts below it.  Presentation importance is the entropy of a node's child
 sequences over the host's pages, content importance is one minus the mean normalised entropy of the
 features over pages, weighted by use: a text that many pages share says little.  Both are combined as in site style
-trees (weight gamma ** features), scaled by what tag and class names say, and branches of low
-importance are removed from each page.  All counting is grouped aggregation with map-side combine;
-small hosts lean on the tree of all hosts.
+trees (weight gamma ** features).  What tag and class names make noise is removed from each page,
+and of the rest branches in which every node is of low importance.  Copies of a page on its host count once.  All
+counting is grouped aggregation with map-side combine; small hosts lean on the tree of all hosts.
 """
 
 from __future__ import annotations
@@ -161,37 +161,66 @@ def prior(label: str, inside: bool) -> float:
     return 1.0
 
 
+@lru_cache(100_000)
+def _noise(path: tuple[str, ...]) -> bool:
+    """Whether the names on the path alone make it noise."""
+    return any(prior(path[k], _in_main(path[:k])) == 0 and not (_in_main(path[:k]) and path[k].isalnum()) for k in range(len(path)))
+
+
+def _main(page: _Page) -> bool:
+    return page.main
+
+
+def _signature(page: _Page) -> int:
+    """Hash of the texts that names do not make noise, of those in the article where there is one: copies of a page share it."""
+    main = _main(page)
+    texts = [t for p, t in page.blocks if not _noise(p) and (not main or _in_main(p))]
+    return xxhash.xxh3_64_intdigest("\n".join(texts or ["", *(t for _, t in page.blocks)]).encode("utf-8", "replace")) - 2**63
+
+
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - 2**63
+
+
 def _features(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, feature, n): pages of each batch whose node at path has the feature."""
+    """(host, path, kind, feature, n): distinct pages whose node at path has the feature; copies of a page count once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            count: Counter = Counter()
+            rows, known = [], set()
             for url, html in zip(batch["url"], batch["html"]):
                 page, host, seen = parse(html), host_of(url), set()
+                sig = _signature(page)
+                if (host, sig) in known:
+                    continue
+                known.add((host, sig))
                 below: dict[tuple, list[str]] = {(): []}
                 for up, label in page.children:
                     below.setdefault(up, []).append(label)
                     below.setdefault((*up, label), [])
                 for path, labels in below.items():
-                    if path and not (_in_main(path[:-1]) and path[-1].isalnum()):
+                    if path and not (_in_main(path[:-1]) and path[-1].isalnum()) and not _noise(path):
                         seen.add(("/".join(path), 0, xxhash.xxh3_64_intdigest(" ".join(labels)) - 2**63))
                 for path, text in page.blocks:
-                    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - 2**63
+                    h = text_hash(text)
                     for k in range(1, len(path) + 1):
+                        if _noise(path[:k]):
+                            break
                         if not (_in_main(path[: k - 1]) and path[k - 1].isalnum()):
                             seen.add(("/".join(path[:k]), 1, h))
-                count.update((host, *x) for x in seen)
-            rows = [(*k, n) for k, n in count.items()]
-            yield pd.DataFrame(rows, columns=["host", "path", "kind", "feature", "n"])
+                rows.append((host, sig, [{"path": p, "kind": i, "feature": x} for p, i, x in seen]))
+            yield pd.DataFrame(rows, columns=["host", "sig", "seen"])
 
-    return pages.select("url", "html").mapInPandas(run, "host string, path string, kind int, feature bigint, n bigint")
+    found = pages.select("url", "html").mapInPandas(run, "host string, sig bigint, seen array<struct<path: string, kind: int, feature: bigint>>")
+    once = found.groupBy("host", "sig").agg(F.first("seen").alias("seen"))
+    return once.select("host", F.explode("seen").alias("s")).select("host", "s.*").groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
 
 
 def low_importance(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(host, path, importance) of the branches to remove."""
+    """(host, what) to remove: a path whose node and all below it are of low importance, or path/=hash
+    for a text that at least half of the pages share, at a node where texts of single pages stand too."""
     scratch = Scratch(pages.sparkSession)
-    f = scratch.put(_features(pages).groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n")))
+    f = scratch.put(_features(pages))
     both = f.unionByName(f.groupBy("path", "kind", "feature").agg(F.sum("n").alias("n")).withColumn("host", F.lit("*")))
     # kind 0: one child sequence for each page, so their counts add up to the pages that have the node
     styles = F.col("kind") == 0
@@ -202,42 +231,51 @@ def low_importance(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         nlogn(~styles).alias("h"),
         F.sum(F.when(~styles, F.col("n")).otherwise(0)).alias("uses"),
         F.count(F.when(~styles, 1)).alias("k"),
+        F.count(F.when(~styles & (F.col("n") == 1), 1)).alias("single"),
     )
     m = F.greatest(F.col("m"), F.lit(2)).cast("double")
     pres = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log(m) * F.col("m") - F.col("s")) / (F.col("m") * F.log(m))))
     content = F.when(F.col("k") == 0, 0.0).otherwise(1 - F.least(F.lit(1.0), F.col("h") / F.col("uses") / F.log(m)))
     w = F.pow(F.lit(GAMMA), F.col("k"))
-    t = scratch.put(t.select("host", "path", "m", (w * pres + (1 - w) * content).alias("importance")))
-    scratch.drop(f)
-    every = t.where("host = '*'").select("path", F.col("m").alias("m_all"), F.col("importance").alias("all"))
+    t = scratch.put(t.select("host", "path", "m", (w * pres + (1 - w) * content).alias("importance"), (F.col("single") / F.col("m")).alias("single")))
+    every = t.where("host = '*'").select("path", F.col("m").alias("m_all"), F.col("importance").alias("all"), F.col("single").alias("single_all"))
     trust = F.least(F.lit(1.0), F.col("m") / TRUST)
-    t = t.where("host <> '*'").join(small(every), "path").withColumn("importance", trust * F.col("importance") + (1 - trust) * F.col("all"))
+    t = t.where("host <> '*'").join(small(every), "path")
+    t = t.withColumn("importance", trust * F.col("importance") + (1 - trust) * F.col("all")).withColumn("single", trust * F.col("single") + (1 - trust) * F.col("single_all"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = []
+            low = []
             for path, own, n_all in zip(b["path"], b["importance"], b["m_all"]):
                 parts = tuple(path.split("/"))
-                inside = _in_main(parts[:-1])
-                p = prior(parts[-1], inside)
-                main = _in_main(parts[-1:])
-                limit = INSIDE if inside else threshold
-                keep.append(p == 0 or not main and n_all >= LEAST and own * p < limit)
-            yield b.loc[keep, ["host", "path", "importance"]]
-
-    return scratch.put(t.mapInPandas(judge, "host string, path string, importance double"))
+                limit = INSIDE if _in_main(parts[:-1]) else threshold
+                low.append(not _in_main(parts[-1:]) and n_all >= LEAST and own < limit)
+            b["low"] = low
+            yield b[["host", "path", "m", "single", "low"]]
+
+    t = scratch.put(t.select("host", "path", "m", "single", "importance", "m_all").mapInPandas(judge, "host string, path string, m bigint, single double, low boolean"))
+    mixed = F.col("single") >= 0.5
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    stay = t.where(~F.col("low") | mixed).select("host", F.explode(above).alias("path")).distinct()
+    whole = t.where(F.col("low") & ~mixed).join(stay, ["host", "path"], "left_anti").select("host", F.col("path").alias("what"))
+    shared = f.where("kind = 1 AND n > 1").join(small(t.where(F.col("low") & mixed).select("host", "path", "m")), ["host", "path"]).where("2 * n >= m")
+    out = scratch.put(whole.unionByName(shared.select("host", F.concat("path", F.lit("/="), F.col("feature").cast("string")).alias("what"))))
+    scratch.drop(f)
+    return out
 
 
 def extract_text(pages: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """Columns of pages without html, with `text` (string) and n_chars (long); columns so named are replaced.
 
     Null or empty html gives ''.  Where a page has an article or main element, only what lies in it
-    counts; there and elsewhere, branches of low importance for the page's host are left out.
+    counts; there and elsewhere, what names make noise and branches that are of low importance for the
+    page's host with all that lies in them are left out, never text for what stands above it.
     Character references are decoded, white space inside a block becomes one space, blocks are
     joined by one newline in page order.  The removal table has a row for each host with its
-    low-importance paths; it is broadcast while small and joined by host otherwise.
+    low-importance paths and texts; it is broadcast while small and joined by host otherwise.
     """
-    bad = low_importance(pages, threshold).groupBy("host").agg(F.collect_set("path").alias("__paths"))
+    bad = low_importance(pages, threshold).groupBy("host").agg(F.collect_set("what").alias("__what"))
     bad = small(bad)
     keep = [c for c in pages.columns if c not in (text, "n_chars", "html")]
     base = pages.select(*keep, pages["html"].alias("__html"), pages["url"].alias("__url"))
@@ -248,12 +286,13 @@ def extract_text(pages: DataFrame, threshold: float = THRESHOLD, text: str = "te
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out, known = [], {}
-            for html, paths in zip(b["__html"], b["__paths"]):
-                key = () if paths is None else tuple(sorted(paths))
+            for html, what in zip(b["__html"], b["__what"]):
+                key = () if what is None else tuple(sorted(what))
                 bad = known.setdefault(key, frozenset(key))
                 page = parse(html)
-                drop = {p: page.main and not _in_main(p) or any("/".join(p[:k]) in bad for k in range(1, len(p) + 1)) for p in {p for p, _ in page.blocks}}
-                lines = [t for p, t in page.blocks if not drop[p]]
+                main = _main(page)
+                drop = {p: main and not _in_main(p) or _noise(p) or "/".join(p) in bad for p in {p for p, _ in page.blocks}}
+                lines = [t for p, t in page.blocks if not drop[p] and not (bad and f"{'/'.join(p)}/={text_hash(t)}" in bad)]
                 out.append("\n".join(lines))
             b = b[keep].copy()
             b[text], b["n_chars"] = out, [len(t) for t in out]

@@ -127,6 +127,27 @@ def test_style_tree_drops_what_a_host_repeats(spark):
     assert all(r.text == f"Own text number {r.page_id} {r.page_id * 7919}" for r in got)
 
 
+def test_style_tree_keeps_what_lies_in_a_repetitive_ancestor(spark):
+    menu = lambda n: "".join(f"<div class='m{j}'>Menu words {j}</div>" for j in range(n))
+    text = lambda k, n: [f"Own text {k} of part {j} {k * 7919 + j}" for j in range(n)]
+    part = lambda ts: "".join(f"<p>{t}</p>" for t in ts)
+    rows, want = [], {}
+    for h, (fixed, own) in enumerate([(20, 10), (5, 4), (10, 10)]):
+        for k in range(100):
+            ts = text(k, own)
+            # the first two by containers, one host with an article, one with menu and text in equal elements
+            body = [f"<div id='page'>{menu(fixed)}<div class='zz'>{part(ts)}</div></div>", f"<div id='page'>{menu(fixed)}<article>{part(ts)}</article></div>", f"<div id='page'>{part([f'Menu {j}' for j in range(2 * fixed)])}{part(ts)}</div>"][h]
+            rows.append((len(rows), f"http://h{h}.x/{k}", f"<html><body>{body}</body></html>"))
+            want[len(want)] = "\n".join(ts)
+    # ten texts of which nine in ten pages are copies, with another advertisement on each
+    for k in range(100):
+        ts = text(k if k < 10 else 0, 6)
+        rows.append((len(rows), f"http://h9.x/{k}", f"<html><div class='container'><div class='ad'>Buy {k}</div>{menu(4)}<div class='zz'>{part(ts)}</div></div></html>"))
+        want[len(want)] = "\n".join(ts)
+    got = {r.page_id: r.text for r in sitetree.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want
+
+
 def test_line_dedup_equals_sql(spark, odd, none):
     c = oracle.connect("/root/testdata/sf0.01")
     assert oracle.difference(queries.op3_line_dedup(spark, "/root/testdata/sf0.01"), c, linededup.SQL) == ""
