@@ -29,9 +29,8 @@ from .common import Scratch, small
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE_TAGS = frozenset("nav footer aside form header menu dialog search fieldset".split())
-NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies notice notices alert consent gdpr popup modal overlay newsletter subscribe subscription signup comment comments reply replies respond disqus share sharing social related recommended widget toolbar login search pagination pager skip".split())
+NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion teaser teasers banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies notice notices alert consent gdpr popup modal overlay newsletter subscribe subscription signup comment comments reply replies respond disqus share sharing social related recommended widget toolbar login search pagination pager skip".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-MAIN = ("article", "main")
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
 
@@ -61,7 +60,7 @@ class _Page:
         self.children: list[tuple[tuple[str, ...], str]] = []
         self.text: list[str] = []
         self.path: tuple[str, ...] = ()
-        self.main = self.head = False
+        self.head = False
         end = 0
         for m in TOKEN.finditer(html):
             if m.start() > end and not self.head:
@@ -120,7 +119,6 @@ class _Page:
         self.children.append((self.path, label))
         self.stack.append((tag, label))
         self.path = (*self.path, label)
-        self.main = self.main or tag in MAIN or label.endswith("@main")
 
     def close(self, tag: str) -> None:
         if tag == "head":
@@ -164,11 +162,12 @@ def prior(label: str, inside: bool) -> float:
 @lru_cache(100_000)
 def _noise(path: tuple[str, ...]) -> bool:
     """Whether the names on the path alone make it noise."""
-    return any(prior(path[k], _in_main(path[:k])) == 0 and not (_in_main(path[:k]) and path[k].isalnum()) for k in range(len(path)))
+    return any(prior(path[k], _in_main(path[:k])) == 0 for k in range(len(path)))
 
 
 def _main(page: _Page) -> bool:
-    return page.main
+    """Whether the page has text in an article or main element that is not itself noise, as a reader's comment is."""
+    return any(_in_main(p) and not _noise(p) for p, _ in page.blocks)
 
 
 def _signature(page: _Page) -> int:
@@ -199,15 +198,14 @@ def _features(pages: DataFrame) -> DataFrame:
                     below.setdefault(up, []).append(label)
                     below.setdefault((*up, label), [])
                 for path, labels in below.items():
-                    if path and not (_in_main(path[:-1]) and path[-1].isalnum()) and not _noise(path):
+                    if path and not _noise(path):
                         seen.add(("/".join(path), 0, xxhash.xxh3_64_intdigest(" ".join(labels)) - 2**63))
                 for path, text in page.blocks:
                     h = text_hash(text)
                     for k in range(1, len(path) + 1):
                         if _noise(path[:k]):
                             break
-                        if not (_in_main(path[: k - 1]) and path[k - 1].isalnum()):
-                            seen.add(("/".join(path[:k]), 1, h))
+                        seen.add(("/".join(path[:k]), 1, h))
                 rows.append((host, sig, [{"path": p, "kind": i, "feature": x} for p, i, x in seen]))
             yield pd.DataFrame(rows, columns=["host", "sig", "seen"])
 
@@ -268,8 +266,8 @@ def low_importance(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def extract_text(pages: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """Columns of pages without html, with `text` (string) and n_chars (long); columns so named are replaced.
 
-    Null or empty html gives ''.  Where a page has an article or main element, only what lies in it
-    counts; there and elsewhere, what names make noise and branches that are of low importance for the
+    Null or empty html gives ''.  Where a page has an article or main element that is not itself noise,
+    only what lies in it counts; there and elsewhere, what names make noise and branches that are of low importance for the
     page's host with all that lies in them are left out, never text for what stands above it.
     Character references are decoded, white space inside a block becomes one space, blocks are
     joined by one newline in page order.  The removal table has a row for each host with its

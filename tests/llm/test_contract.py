@@ -148,6 +148,20 @@ def test_style_tree_keeps_what_lies_in_a_repetitive_ancestor(spark):
     assert got == want
 
 
+def test_html_noise_in_articles(spark):
+    bare = "<nav>N</nav><aside>A</aside><form>F</form><footer>X</footer>"
+    rows = [
+        (1, f"<main><header>Top</header>{bare}<div>text</div></main>", "Top\ntext"),
+        (2, f"<article>{bare}<p>one</p><section>two</section></article>", "one\ntwo"),
+        (3, "<div class='post'>real text</div><div class='comments'><article>me too</article></div>", "real text"),
+        (4, "<div class='post'>real text</div><article class='teaser'>read on</article><section class='related'><article>next</article></section>", "real text"),
+        (5, "<div class='post'>real text</div><article></article>", "real text"),
+        (6, "<div class='post'>about</div><article>real text</article><div class='comments'><article>me too</article></div>", "real text"),
+    ]
+    df = spark.createDataFrame([(k, f"http://h{k}.x/", h) for k, h, _ in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in sitetree.extract_text(df).collect()} == {k: t for k, _, t in rows}
+
+
 def test_line_dedup_equals_sql(spark, odd, none):
     c = oracle.connect("/root/testdata/sf0.01")
     assert oracle.difference(queries.op3_line_dedup(spark, "/root/testdata/sf0.01"), c, linededup.SQL) == ""
