@@ -1,14 +1,15 @@
 """Licence scans: sparse TF-IDF cosine of lines and whole files to templates, then nearest-ancestor inheritance.
 
-A line (or a whole short file) and a template are vectors of log(1 + uses) times inverse document
-frequency, counted over all files.  A whole file that matches a template is a licence file and
-covers its directory; a file without a header of its own inherits from the nearest ancestor
+A line, a run of two or three lines (notices are wrapped) or a whole file and a template are vectors
+of log(1 + uses) times inverse document frequency, counted over all files.  A whole file that matches
+a notice or the full text of a licence (licence_texts/) is a licence file and covers its directory; a file without a header of its own inherits from the nearest ancestor
 directory that has one, found by joining directories with the prefixes of their paths.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,11 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("Proprietary", "All rights reserved."),
 )
+#: Full texts of licences, for whole files.
+TEXTS = tuple((f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")))
 THRESHOLD = 0.75
+#: Lines of the longest run that is compared.
+RUN = 3
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -66,22 +71,21 @@ class Matcher:
         self.telling = np.ones(len(order), bool)
         self.telling[order[mass < threshold**2 * 0.999]] = False
 
-    def best(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(best template or -1, cosine) of each unit of bytes between consecutive bounds."""
-        n = len(bounds) - 1
-        best, cos = np.full(n, -1), np.zeros(n)
-        w = Words(data, bounds, _WORD)
-        if not len(w.hash):
-            return best, cos
+    def look_up(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the vocabulary, whether it is there) of each word."""
         at = np.minimum(np.searchsorted(self.vocabulary, w.hash), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == w.hash
-        rows = np.unique(w.doc[known & self.telling[at]])
+        return at, self.vocabulary[at] == w.hash
+
+    def best(self, hashes: np.ndarray, at: np.ndarray, known: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(best template or -1, cosine) of each of n units of words; unit holds each word's unit, ascending."""
+        best, cos = np.full(n, -1), np.zeros(n)
+        rows = np.unique(unit[known & self.telling[at]])
         if not len(rows):
             return best, cos
         place = np.full(n, -1)
         place[rows] = np.arange(len(rows))
-        use = np.flatnonzero(place[w.doc] >= 0)
-        row, h, a, k = place[w.doc[use]], w.hash[use], at[use], known[use]
+        use = np.flatnonzero(place[unit] >= 0)
+        row, h, a, k = place[unit[use]], hashes[use], at[use], known[use]
         order = np.lexsort((h, row))
         row, h, a, k = row[order], h[order], a[order], k[order]
         new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]))
@@ -96,8 +100,38 @@ class Matcher:
         return best, cos
 
 
-def _matcher(files: DataFrame, templates, threshold: float) -> Matcher:
-    vocabulary = np.unique(np.concatenate([_tokens(t) for _, t in templates]))
+def _runs(match: Matcher, w: Words, at: np.ndarray, known: np.ndarray, line_doc: np.ndarray, best: np.ndarray, cos: np.ndarray) -> None:
+    """Put runs of lines that match, of which no line and no shorter run does, into best and cos at their first line."""
+    n = len(line_doc)
+    telling = np.zeros(n, bool)
+    telling[w.doc[known & match.telling[at]]] = True
+    docs = np.unique(line_doc[telling])
+    if not len(docs):
+        return
+    some = np.isin(line_doc, docs)[w.doc]  # words of rows that have a telling word
+    h, a, k, line = w.hash[some], at[some], known[some], w.doc[some]
+    order = np.arange(n) - np.searchsorted(line_doc, line_doc)  # a line's place in its row
+    taken = best >= 0
+    for size in range(2, RUN + 1):
+        found = []
+        for phase in range(size):
+            new = (order % size == phase) | (order == 0)
+            unit = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
+            b, c = match.best(h, a, k, unit[line], len(first))
+            lines = np.diff(np.append(first, n))
+            hit = np.flatnonzero((b >= 0) & (lines == size))
+            found += [(-c[u], first[u], b[u]) for u in hit]
+        for c, u, b in sorted(found):
+            if not taken[u : u + size].any():
+                taken[u : u + size] = True
+                best[u], cos[u] = b, -c
+
+
+def _matchers(files: DataFrame, templates, threshold: float) -> tuple[Matcher, Matcher]:
+    """For lines and runs of lines, and for whole files."""
+    whole = (*templates, *TEXTS)
+    vocabulary = np.unique(np.concatenate([_tokens(t) for _, t in whole]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(vocabulary), np.int64), 0
@@ -115,20 +149,24 @@ def _matcher(files: DataFrame, templates, threshold: float) -> Matcher:
     n = got.get(-1, 0)
     idf = {int(h): float(np.log((n + 1) / (got.get(k, 0) + 1)) + 1) for k, h in enumerate(vocabulary)}
     # A word outside the templates counts as one that a hundredth of the files use.
-    return Matcher(templates, idf, float(np.log(100) + 1), threshold)
+    rare = float(np.log(100) + 1)
+    own = {int(h) for _, t in templates for h in _tokens(t)}
+    return Matcher(templates, {h: v for h, v in idf.items() if h in own}, rare, threshold), Matcher(whole, idf, rare, threshold)
 
 
 def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(file_id, path, license, similarity, n_headers, is_license_file) for rows (file_id, path, text).
 
-    license: the template of the best line, by cosine, then template order; null without a line at or
-    above the threshold.  Null and empty texts match nothing.  Every line of every file is compared.
+    license: the template of the best line or run of up to RUN lines, by cosine, then template order;
+    without one, that of the whole file; null without any at or above the threshold.  n_headers counts
+    lines, and runs without a line or shorter run that matches.  Null and empty texts match nothing.
+    Every line of every file is compared.
     """
-    m = files.sparkSession.sparkContext.broadcast(_matcher(files, templates, threshold))
+    m = files.sparkSession.sparkContext.broadcast(_matchers(files, templates, threshold))
     schema = files.select("file_id", "path").schema.add("license", "string").add("similarity", "double").add("n_headers", "long").add("is_license_file", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = m.value
+        match, full = m.value
         for b in batches:
             names, cos, heads, whole = [], [], [], []
             for a, e, data, offs in pieces(b.column(2)):
@@ -136,16 +174,23 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
                 lines = np.unique(np.concatenate([offs, np.flatnonzero(data == 10) + 1]))
                 if lines[-1] < len(data):
                     lines = np.append(lines, len(data))
-                best, c = match.best(data, lines) if len(lines) > 1 else (np.zeros(0, int), np.zeros(0))
                 doc = np.searchsorted(offs, lines[:-1], side="right") - 1
+                best, c = np.full(len(doc), -1), np.zeros(len(doc))
+                all_, sure = np.full(n, -1), np.zeros(n)
+                if len(doc) and len((w := Words(data, lines, _WORD)).hash):
+                    at, known = match.look_up(w)
+                    best, c = match.best(w.hash, at, known, w.doc, len(doc))
+                    _runs(match, w, at, known, doc, best, c)
+                    all_, sure = full.best(w.hash, *full.look_up(w), doc[w.doc], n)
                 hit = best >= 0
                 order = np.lexsort((best[hit], -c[hit], doc[hit]))
                 d, t, v = doc[hit][order], best[hit][order], c[hit][order]
                 first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, int)
                 name, sim = np.full(n, -1), np.zeros(n)
                 name[d[first]], sim[d[first]] = match.name_of[t[first]], v[first]
-                all_, _ = match.best(data, offs)
-                names += [match.names[k] if k >= 0 else None for k in name]
+                lone = (name < 0) & (all_ >= 0)
+                sim[lone] = sure[lone]
+                names += [match.names[k] if k >= 0 else full.names[full.name_of[f]] if f >= 0 else None for k, f in zip(name, all_)]
                 cos += sim.tolist()
                 heads += np.bincount(d, minlength=n).tolist()
                 whole += (all_ >= 0).tolist()

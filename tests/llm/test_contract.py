@@ -397,6 +397,26 @@ def test_licenses(spark):
     assert licenses.inherit(licenses.scan(df.limit(0))).count() == 0
 
 
+def test_licence_texts_and_wrapped_notices(spark):
+    texts = dict(licenses.TEXTS)
+    filled = texts["BSD-3-Clause"].replace("<year>, <copyright holder>", "2019, Jane Roe and others")
+    mit = texts["MIT"].replace("<year> <copyright holders>", "2021 A. Person").split("Permission")[1]
+    wrapped = {
+        "MIT": "# Permission is hereby granted, free of charge, to any person obtaining\n# a copy of this software and associated documentation files",
+        "GPL-3.0": "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by",
+        "BSD-3-Clause": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are\n * met:",
+    }
+    files = [(n, f"{n}/LICENSE", t) for n, t in texts.items()] + [("BSD-3-Clause", "b/LICENSE", filled), ("MIT", "m/LICENSE", "Copyright (c) 2021\n\nPermission" + mit)]
+    files += [(n, f"src/{n}.py", f"first line\n{t}\n" + "".join(f"name{j} = call{j}(value{j})\n" for j in range(40))) for n, t in wrapped.items()]
+    rows = [(k, p, t) for k, (_, p, t) in enumerate(files)] + [(90, "MPL-2.0/src/a.c", "code"), (91, "x/y.c", "the program\nis here\nand there"), (92, "z/LICENSE", "Released\nunder\nthe\nMIT\nLicense")]
+    got = {r.file_id: r for r in licenses.inherit(licenses.scan(spark.createDataFrame(rows, "file_id long, path string, text string"))).collect()}
+    assert [got[k].license for k in range(len(files))] == [n for n, _, _ in files]
+    assert all(got[k].is_license_file == p.endswith("LICENSE") for k, (_, p, _) in enumerate(files))
+    assert all(got[k].n_headers == 1 for k, (_, p, _) in enumerate(files) if p.startswith("src/"))
+    assert got[90].effective_license == "MPL-2.0" and got[91].license is None
+    assert (got[92].license, got[92].is_license_file) == ("MIT", True)
+
+
 def test_license_query_finds_every_notice(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
