@@ -25,6 +25,8 @@ SAMPLE = 8192
 ITERATIONS = 30
 #: Chance of meeting in some table that a pair at the threshold is given (by the angle of a sign change).
 RECALL = 0.995
+#: Tables up to which their number makes up for codes that disagree more than planned.
+MOST = 48
 #: Vectors of a bucket that are compared in one piece; larger buckets are split into pairs of pieces.
 CHUNK = 256
 
@@ -53,8 +55,11 @@ class Rotations:
             parts.append(axes @ r)
         self.matrix = np.concatenate(parts, 1)[:, :bits]
 
+    def signs(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) @ self.matrix >= 0
+
     def substrings(self, x: np.ndarray, tables: int, bits: int) -> np.ndarray:
-        on = ((x - self.mean) @ self.matrix >= 0).reshape(len(x), tables, bits)
+        on = self.signs(x).reshape(len(x), tables, bits)
         return (on * (1 << np.arange(bits, dtype=np.int64))).sum(2).astype(np.int32)
 
 
@@ -65,6 +70,31 @@ def plan(n: int) -> tuple[int, int]:
     return max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - same))), bits
 
 
+def learn(x: np.ndarray, n: int, pairs: int = 2048) -> tuple[Rotations, int, int]:
+    """(rotations, tables, bits of each) that reach the recall on pairs at COSINE around unit vectors x.
+
+    Centring widens the angle between vectors of a common direction, so that codes disagree more
+    than plan() reckons: there, more tables, and beyond MOST of them fewer bits, make up for it.
+    """
+    tables, bits = plan(n)
+    model = Rotations(x, tables * bits)
+    sample, x = x, x[:pairs]
+    if not len(x) or x.shape[1] < 2:
+        return model, tables, bits
+    e = np.random.default_rng(11).standard_normal(x.shape)
+    e -= (e * x).sum(1, keepdims=True) * x
+    y = COSINE * x + math.sqrt(1 - COSINE**2) * e / np.sqrt((e * e).sum(1, keepdims=True))
+    agree = (model.signs(x) == model.signs(y)).mean(1)
+    recall = lambda t, b: (1 - (1 - agree**b) ** t).mean()
+    most, b = max(MOST, tables), bits
+    while b > 1 and recall(most, b) < RECALL:
+        b -= 1
+    t = tables
+    while t < most and recall(t, b) < RECALL:
+        t += 1
+    return (model if (t, b) == (tables, bits) else Rotations(sample, t * b)), t, b
+
+
 def _unit(column: pa.Array) -> np.ndarray:
     x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
     x = x / np.abs(x).max(1, keepdims=True)  # norms neither overflow nor vanish
@@ -92,9 +122,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     counts = reps.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("n")).collect()  # a row for each dimension
     models = {}
     for r in counts:
-        tables, bits = plan(r.n)
         sample = reps.where(F.col("dim") == r.dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "x").toArrow()
-        models[r.dim] = (Rotations(_unit(sample.column("x").combine_chunks()), tables * bits), tables, bits)
+        models[r.dim] = learn(_unit(sample.column("x").combine_chunks()), r.n)
     shared = spark.sparkContext.broadcast(models)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

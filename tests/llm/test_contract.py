@@ -277,6 +277,35 @@ def test_embeddings_recall(spark, monkeypatch, chunk):
     assert itq.near_duplicates(df.limit(0)).count() == 0
 
 
+def common_direction(norm, n=2500, dim=48, seed=5):
+    """Unit vectors with a mean of about the norm given, and a partner of each at cosine 0.98 to 0.985."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim)) / dim**0.5 * (1 - norm**2) ** 0.5
+    x[:, 0] += norm
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    e = rng.standard_normal(x.shape)
+    e -= (e * x).sum(1, keepdims=True) * x
+    c = rng.uniform(0.9801, 0.985, (n, 1))
+    return x, c * x + (1 - c**2) ** 0.5 * e / np.linalg.norm(e, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("norm", [0.0, 0.8, 0.9, 0.97])
+def test_tables_reach_recall_with_a_common_direction(norm):
+    x, y = common_direction(norm)
+    model, tables, bits = itq.learn(np.concatenate([x, y]), 100_000)
+    a, b = model.substrings(x, tables, bits), model.substrings(y, tables, bits)
+    assert (a == b).any(1).mean() >= 0.985
+
+
+def test_embeddings_with_a_common_direction(spark):
+    x, y = common_direction(0.9)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(np.concatenate([x, y]).astype(np.float32))]
+    got = itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).agg(F.sum("n_links")).first()[0]
+    z = np.array([v for _, v, _ in rows])
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    assert got >= 0.98 * ((z @ z.T >= itq.COSINE).sum() - len(z))
+
+
 def test_embeddings_query(spark):
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     n, comp = cosines(rows)
