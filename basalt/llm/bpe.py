@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers.models import BPE
 
+from .common import slices
+
 #: The pattern of byte-level BPE pre-tokenization.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters and digits newer than those that the tokenizers library knows, as first and last code point;
@@ -37,8 +39,12 @@ NEWER = (
     (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
     (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 )
-#: Entries in each of the two generations of a cache (about 50 MB).
-CACHE = 250_000
+#: Bytes in each of the two generations of a cache, entries' own overhead included, and the longest key kept.
+CACHE_BYTES, LONGEST_KEY = 12 << 20, 64
+#: What an entry costs beside the characters of its key and value: two objects and its place in the table.
+ENTRY = 200
+#: Rows that are worked on at a time, so that what is made of a batch stays small.
+ROWS = 256
 #: Texts whose UTF-8 bytes stay at or below this lead byte hold only code points up to U+023F.
 LATIN = 0xC8
 
@@ -57,18 +63,26 @@ def byte_alphabet() -> list[str]:
 
 
 class _Cache(dict):
-    """Values made once; of two generations, the older is dropped when the younger is full."""
+    """Values made once; of two generations, the older is dropped when the younger holds CACHE_BYTES.
+
+    Long keys are never kept: they hardly repeat, and one of them could outweigh thousands.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.held = make, {}, 0
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
-            self.old = dict(self)
-            self.clear()
         out = self.old.get(key)
-        self[key] = out = self.make(key) if out is None else out
+        if out is None:
+            out = self.make(key)
+        if len(key) <= LONGEST_KEY:
+            if self.held >= CACHE_BYTES:
+                self.old = dict(self)
+                self.clear()
+                self.held = 0
+            self[key] = out
+            self.held += ENTRY + 2 * len(key) + len(out)
         return out
 
 
@@ -166,19 +180,20 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, text: str =
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} if digest else {ids: "binary"} | ({decoded: "string"} if decoded else {})
-    keep = [c for c in docs.columns if c not in made]
-    if digest:
-        keep = [c for c in keep if c != text]
-    base = docs.select(*[c for c in docs.columns if c in keep], docs[text].alias("__text"))
-    schema = base.drop("__text").schema
+    keep = [c for c in docs.columns if c not in made and not (digest and c == text)]
+    shared = text in keep  # the text crosses to Python once, also where it is a column of the result
+    base = docs.select(*keep) if shared else docs.select(*keep, docs[text].alias("__text"))
+    at = keep.index(text) if shared else len(keep)
+    schema = docs.select(*keep).schema
     for c, kind in made.items():
         schema = schema.add(c, kind)
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(spec.value)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             cols: list[list] = [[] for _ in made]
-            for t in batch.column(batch.num_columns - 1):
+            for t in batch.column(at):
                 coded = bpe.encode(t.as_py() or "")
                 if digest:
                     row = (len(coded) // 4, hashlib.sha256(coded).hexdigest(), hashlib.sha256(bpe.decode(coded).encode()).hexdigest())
@@ -186,7 +201,6 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, text: str =
                     row = (coded, bpe.decode(coded)) if decoded else (coded,)
                 for c, v in zip(cols, row):
                     c.append(v)
-            kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, kinds[k]) for c, k in zip(cols, made.values()))], names=[*batch.schema.names[:-1], *made])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c, kinds[k]) for c, k in zip(cols, made.values()))], names=[*keep, *made])
 
     return base.mapInArrow(run, schema)
