@@ -1,18 +1,20 @@
 """Main-text extraction with site style trees.
 
-The DOMs of one host are merged into a tree of presentation nodes (tag, classes, id); a node's
-content features are the texts below it.  Presentation importance is the entropy of a node's child
-sequences over the host's pages, content importance is one minus the mean normalised entropy of the
-features over pages, weighted by use: a text that many pages share says little.  Both are combined as in site style
-trees (weight gamma ** features).  What tag and class names make noise is removed from each page,
-and of the rest branches in which every node is of low importance.  Copies of a page on its host count once.  All
-counting is grouped aggregation with map-side combine; small hosts lean on the tree of all hosts.
+The DOMs of one host are merged into a tree of presentation nodes (tag, classes, id).  A node's
+presentation importance is the entropy of its child sequences over the host's pages; its content
+importance is one minus the mean normalised entropy of its phrases, weighted by their length, over the
+pages of all hosts: a phrase that many pages share says little.  Both are combined as in site style trees,
+presentation counting the more, the more child sequences a node has.  Branches in which every node is of low
+importance are removed from each page.  Names of elements and classes are a second input: what
+they mark as a menu or an advert goes, and what they mark as the article stays unless nearly all of it repeats.
+Copies of a page count once.  All counting is grouped aggregation with map-side combine; small
+hosts lean on the tree of all hosts.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -20,10 +22,10 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch
 
 # Element names by their part in a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -36,10 +38,16 @@ SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 
 GAMMA = 0.9
 #: Branches below this importance are removed; inside an article only those that nearly all pages share.
-THRESHOLD, INSIDE = 0.5, 0.15
+THRESHOLD, INSIDE = 0.4, 0.15
+#: Pages from which on a phrase says nothing at all (its entropy is normalised by their logarithm).
+COMMON = 8
+#: Bytes of removals up to which all of them are broadcast; beyond, each page is joined with its own.
+REMOVAL_BYTES = 16 << 20
 #: Pages that a host needs for its own tree to count fully, and at all for removal by entropy.
 TRUST, LEAST = 20, 5
 SPACE = re.compile(r"\s+")
+#: Where a block's text is cut into phrases.
+PHRASE = re.compile(r"[.!?;:](?:\s+|\Z)|\s*[|\u00b7\u2022\u00bb\u203a\u2014]\s*")
 
 
 #: Markup: comments, elements whose content is no text (to their end tag), tags, declarations.
@@ -171,127 +179,154 @@ def _main(page: _Page) -> bool:
 
 
 def _signature(page: _Page) -> int:
-    """Hash of the texts that names do not make noise, of those in the article where there is one: copies of a page share it."""
-    main = _main(page)
-    texts = [t for p, t in page.blocks if not _noise(p) and (not main or _in_main(p))]
-    return xxhash.xxh3_64_intdigest("\n".join(texts or ["", *(t for _, t in page.blocks)]).encode("utf-8", "replace")) - 2**63
+    """Hash of the longest blocks, three or those that hold half of the page's text: copies of a page share it, whatever surrounds them."""
+    texts = sorted({t for _, t in page.blocks}, key=lambda t: (-len(t), t))
+    need, used = sum(map(len, texts)) / 2, []
+    for t in texts:
+        if need <= 0 or len(used) == 3:
+            break
+        used.append(t)
+        need -= len(t)
+    return phrase_hash("\n".join(used))
+
+
+def phrase_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - 2**63
 
 
-def text_hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - 2**63
+def phrases(text: str) -> dict[int, int]:
+    """Hash and length of each phrase of a block."""
+    return {phrase_hash(x): len(x) for x in PHRASE.split(text) if x}
 
 
-def _features(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, feature, n): distinct pages whose node at path has the feature; copies of a page count once."""
+def _found(pages: DataFrame) -> DataFrame:
+    """(host, sig, page, found): signature and hash of each page, with the child sequences of its nodes and the phrases at their nodes, but for what names make noise."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, known = [], set()
             for url, html in zip(batch["url"], batch["html"]):
-                page, host, seen = parse(html), host_of(url), set()
+                page, host = parse(html), host_of(url)
                 sig = _signature(page)
                 if (host, sig) in known:
                     continue
                 known.add((host, sig))
-                below: dict[tuple, list[str]] = {(): []}
+                below: dict[tuple, list[str]] = {}
                 for up, label in page.children:
                     below.setdefault(up, []).append(label)
                     below.setdefault((*up, label), [])
-                for path, labels in below.items():
-                    if path and not _noise(path):
-                        seen.add(("/".join(path), 0, xxhash.xxh3_64_intdigest(" ".join(labels)) - 2**63))
+                styles = [{"path": "/".join(path), "feature": phrase_hash(" ".join(labels))} for path, labels in below.items() if path and not _noise(path)]
+                at: dict[tuple, dict[int, int]] = {}
                 for path, text in page.blocks:
-                    h = text_hash(text)
-                    for k in range(1, len(path) + 1):
-                        if _noise(path[:k]):
-                            break
-                        seen.add(("/".join(path[:k]), 1, h))
-                rows.append((host, sig, [{"path": p, "kind": i, "feature": x} for p, i, x in seen]))
-            yield pd.DataFrame(rows, columns=["host", "sig", "seen"])
+                    if path and not _noise(path):
+                        at.setdefault(path, {}).update(phrases(text))
+                uses = [{"path": "/".join(path), "feature": h, "size": n} for path, found in at.items() for h, n in found.items()]
+                rows.append((host, sig, phrase_hash(html or ""), {"styles": styles, "uses": uses}))
+            yield pd.DataFrame(rows, columns=["host", "sig", "page", "found"])
+
+    schema = "host string, sig bigint, page bigint, found struct<styles: array<struct<path: string, feature: bigint>>, uses: array<struct<path: string, feature: bigint, size: int>>>"
+    return pages.select("url", "html").mapInPandas(run, schema)
 
-    found = pages.select("url", "html").mapInPandas(run, "host string, sig bigint, seen array<struct<path: string, kind: int, feature: bigint>>")
-    once = found.groupBy("host", "sig").agg(F.first("seen").alias("seen"))
-    return once.select("host", F.explode("seen").alias("s")).select("host", "s.*").groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
+
+def _in_article(path) -> Column:
+    """The same as _in_main, for a path column."""
+    return path.rlike(r"(^|/)(article|main)\b|@main(/|$)")
 
 
 def low_importance(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(host, what) to remove: a path whose node and all below it are of low importance, or path/=hash
-    for a text that at least half of the pages share, at a node where texts of single pages stand too."""
+    """(host, what) to remove: a path whose node and all below it are of low importance, or
+    path/=hash for a phrase that at least half of the host's pages have at a node that stays."""
     scratch = Scratch(pages.sparkSession)
-    f = scratch.put(_features(pages))
-    both = f.unionByName(f.groupBy("path", "kind", "feature").agg(F.sum("n").alias("n")).withColumn("host", F.lit("*")))
-    # kind 0: one child sequence for each page, so their counts add up to the pages that have the node
-    styles = F.col("kind") == 0
-    nlogn = lambda cond: F.sum(F.when(cond, F.col("n") * F.log("n")).otherwise(0.0))
-    t = both.groupBy("host", "path").agg(
-        F.sum(F.when(styles, F.col("n")).otherwise(0)).alias("m"),
-        nlogn(styles).alias("s"),
-        nlogn(~styles).alias("h"),
-        F.sum(F.when(~styles, F.col("n")).otherwise(0)).alias("uses"),
-        F.count(F.when(~styles, 1)).alias("k"),
-        F.count(F.when(~styles & (F.col("n") == 1), 1)).alias("single"),
-    )
-    m = F.greatest(F.col("m"), F.lit(2)).cast("double")
-    pres = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log(m) * F.col("m") - F.col("s")) / (F.col("m") * F.log(m))))
-    content = F.when(F.col("k") == 0, 0.0).otherwise(1 - F.least(F.lit(1.0), F.col("h") / F.col("uses") / F.log(m)))
-    w = F.pow(F.lit(GAMMA), F.col("k"))
-    t = scratch.put(t.select("host", "path", "m", (w * pres + (1 - w) * content).alias("importance"), (F.col("single") / F.col("m")).alias("single")))
-    every = t.where("host = '*'").select("path", F.col("m").alias("m_all"), F.col("importance").alias("all"), F.col("single").alias("single_all"))
-    trust = F.least(F.lit(1.0), F.col("m") / TRUST)
-    t = t.where("host <> '*'").join(small(every), "path")
-    t = t.withColumn("importance", trust * F.col("importance") + (1 - trust) * F.col("all")).withColumn("single", trust * F.col("single") + (1 - trust) * F.col("single_all"))
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            low = []
-            for path, own, n_all in zip(b["path"], b["importance"], b["m_all"]):
-                parts = tuple(path.split("/"))
-                limit = INSIDE if _in_main(parts[:-1]) else threshold
-                low.append(not _in_main(parts[-1:]) and n_all >= LEAST and own < limit)
-            b["low"] = low
-            yield b[["host", "path", "m", "single", "low"]]
-
-    t = scratch.put(t.select("host", "path", "m", "single", "importance", "m_all").mapInPandas(judge, "host string, path string, m bigint, single double, low boolean"))
-    mixed = F.col("single") >= 0.5
+    # copies of a page count once on their host, and once in how many pages use a phrase
+    once = scratch.put(_found(pages).groupBy("host", "sig").agg(F.min_by("found", "page").alias("f")).select("host", "sig", "f.*"))
+    lead = once.groupBy("sig").agg(F.min("host").alias("host"))
+    known = once.join(lead, ["sig", "host"]).select(F.explode(F.array_distinct(F.col("uses.feature"))).alias("feature")).groupBy("feature").agg(F.count("*").alias("all"))
+    uses = once.select("host", F.explode("uses").alias("u")).select("host", "u.*").groupBy("host", "path", "feature").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    styles = once.select("host", F.explode("styles").alias("s")).select("host", "s.*").groupBy("host", "path", "feature").agg(F.count("*").alias("n"))
+    styles = scratch.put(styles)
+    # a phrase that half of a host's pages have at a node is the host's own; the node is judged by the others
+    have = styles.groupBy("host", "path").agg(F.sum("n").alias("m"))
+    fixed = (F.col("n") > 1) & (2 * F.col("n") >= F.col("m"))
+    uses = scratch.put(uses.join(known, "feature", "left").join(have, ["host", "path"]).withColumn("all", F.greatest("all", "n")).withColumn("fixed", fixed))
+    scratch.drop(once)
+    every = lambda df: df.unionByName(df.withColumn("host", F.lit("*")))
+    # the phrases' entropies add up along a branch, so they are summed at their own node first and then at the nodes above
+    mass = F.col("n") * F.col("size")
+    dull = mass * F.least(F.lit(1.0), F.log("all") / math.log(COMMON))
+    own = every(uses.where("NOT fixed").drop("m", "fixed")).groupBy("host", "path").agg(F.sum(mass).alias("mass"), F.sum(dull).alias("dull"))
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    stay = t.where(~F.col("low") | mixed).select("host", F.explode(above).alias("path")).distinct()
-    whole = t.where(F.col("low") & ~mixed).join(stay, ["host", "path"], "left_anti").select("host", F.col("path").alias("what"))
-    shared = f.where("kind = 1 AND n > 1").join(small(t.where(F.col("low") & mixed).select("host", "path", "m")), ["host", "path"]).where("2 * n >= m")
-    out = scratch.put(whole.unionByName(shared.select("host", F.concat("path", F.lit("/="), F.col("feature").cast("string")).alias("what"))))
-    scratch.drop(f)
-    return out
+    content = own.withColumn("up", F.explode(above)).groupBy("host", F.col("up").alias("path")).agg(F.sum("mass").alias("mass"), F.sum("dull").alias("dull"))
+    # one child sequence for each page, so their counts add up to the pages that have the node
+    s = every(styles).groupBy("host", "path", "feature").agg(F.sum("n").alias("n"))
+    s = s.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("k"))
+    m = F.greatest(F.col("m"), F.lit(2)).cast("double")
+    pres = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log(m) * F.col("m") - F.col("nlogn")) / (F.col("m") * F.log(m))))
+    cont = F.coalesce(1 - F.col("dull") / F.col("mass"), F.lit(0.0))
+    w = F.pow(F.lit(GAMMA), F.col("k") - 1)  # a node of one child sequence is judged by its content
+    t = s.join(content, ["host", "path"], "left")
+    t = scratch.put(t.select("host", "path", "m", (w * cont + (1 - w) * pres * cont).alias("importance")))
+    total = t.where("host = '*'").select("path", F.col("m").alias("m_all"), F.col("importance").alias("all"))
+    trust = F.least(F.lit(1.0), F.col("m") / TRUST)
+    t = t.where("host <> '*'").join(total, "path")
+    t = t.withColumn("importance", trust * F.col("importance") + (1 - trust) * F.col("all"))
+    inside = _in_article(F.regexp_replace("path", "(^|/)[^/]*$", ""))
+    limit = F.when(inside, INSIDE).otherwise(threshold)
+    last = F.element_at(F.split("path", "/"), -1)
+    known = ~_in_article(last) & (F.col("m_all") >= LEAST)
+    t = scratch.put(t.withColumn("low", known & (F.col("importance") < limit)).withColumn("inside", inside))
+    stay = t.where("NOT low").select("host", F.explode(above).alias("up")).distinct().withColumnRenamed("up", "path")
+    whole = t.where("low").join(stay, ["host", "path"], "left_anti").select("host", F.col("path").alias("what"))
+    shared = uses.where("fixed").join(t.where("NOT low AND NOT inside").where(F.col("m") >= TRUST).select("host", "path"), ["host", "path"])
+    return scratch.put(whole.unionByName(shared.select("host", F.concat("path", F.lit("/="), F.col("feature").cast("string")).alias("what"))))
+
+
+def _removals(path: tuple[str, ...], text: str | None = None) -> list[str]:
+    """The removals that concern a node: of the node itself, or of the phrases of a block in it."""
+    at = "/".join(path)
+    return [at] if text is None else [f"{at}/={h}" for h in phrases(text)]
+
+
+def main_blocks(page: _Page, bad: frozenset[str]) -> list[str]:
+    """The texts of the page that stay when the removals of its host are applied."""
+    main = _main(page)
+    drop = {p: main and not _in_main(p) or _noise(p) or any("/".join(p[:k]) in bad for k in range(1, len(p) + 1)) for p in {p for p, _ in page.blocks}}
+    return [t for p, t in page.blocks if not drop[p] and not (bad and (r := _removals(p, t)) and all(x in bad for x in r))]
 
 
 def extract_text(pages: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """Columns of pages without html, with `text` (string) and n_chars (long); columns so named are replaced.
 
-    Null or empty html gives ''.  Where a page has an article or main element that is not itself noise,
-    only what lies in it counts; there and elsewhere, what names make noise and branches that are of low importance for the
-    page's host with all that lies in them are left out, never text for what stands above it.
+    Null or empty html gives ''.  Branches that are of low importance for the page's host go with all
+    that lies in them, never text for what stands above it; so does what names make noise, and where a
+    page has an article or main element that is not itself noise, what lies outside it.
     Character references are decoded, white space inside a block becomes one space, blocks are
-    joined by one newline in page order.  The removal table has a row for each host with its
-    low-importance paths and texts; it is broadcast while small and joined by host otherwise.
+    joined by one newline in page order.  Pages without a valid url share the host ''; rows of a
+    repeated page_id are pages of their own, and equal pages have equal texts.  The removals are broadcast while
+    they take at most REMOVAL_BYTES; beyond that each page is joined with those among its own nodes and phrases.
     """
-    bad = low_importance(pages, threshold).groupBy("host").agg(F.collect_set("what").alias("__what"))
-    bad = small(bad)
+    bad = low_importance(pages, threshold)
+    size = bad.agg(F.sum(F.octet_length("host") + F.octet_length("what") + 100)).first()[0] or 0
     keep = [c for c in pages.columns if c not in (text, "n_chars", "html")]
+    schema = pages.select(*keep).schema.add(text, "string").add("n_chars", "long")
     base = pages.select(*keep, pages["html"].alias("__html"), pages["url"].alias("__url"))
-    base = _with_host(base)
-    base = base.join(bad, base["__host"] == bad["host"], "left").drop("host", "__host", "__url")
-    schema = base.select(*keep).schema.add(text, "string").add("n_chars", "long")
+    if size <= REMOVAL_BYTES:
+        table: dict[str, set[str]] = {}
+        for r in bad.collect():
+            table.setdefault(r.host, set()).add(r.what)
+        shared = pages.sparkSession.sparkContext.broadcast({h: frozenset(x) for h, x in table.items()})
+    else:
+        shared = None
+        base = _with_own_removals(base, bad)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none: frozenset[str] = frozenset()
         for b in batches:
-            out, known = [], {}
-            for html, what in zip(b["__html"], b["__what"]):
-                key = () if what is None else tuple(sorted(what))
-                bad = known.setdefault(key, frozenset(key))
-                page = parse(html)
-                main = _main(page)
-                drop = {p: main and not _in_main(p) or _noise(p) or "/".join(p) in bad for p in {p for p, _ in page.blocks}}
-                lines = [t for p, t in page.blocks if not drop[p] and not (bad and f"{'/'.join(p)}/={text_hash(t)}" in bad)]
-                out.append("\n".join(lines))
+            if shared is not None:
+                bads = [shared.value.get(host_of(u), none) for u in b["__url"]]
+            else:
+                bads = [none if w is None else frozenset(w) for w in b["__what"]]
+            out = ["\n".join(main_blocks(parse(html), bad)) for html, bad in zip(b["__html"], bads)]
             b = b[keep].copy()
             b[text], b["n_chars"] = out, [len(t) for t in out]
             yield b
@@ -299,9 +334,20 @@ def extract_text(pages: DataFrame, threshold: float = THRESHOLD, text: str = "te
     return base.mapInPandas(run, schema)
 
 
-def _with_host(df: DataFrame) -> DataFrame:
-    @F.pandas_udf("string")
-    def host(u: pd.Series) -> pd.Series:
-        return u.map(host_of)
+def _with_own_removals(base: DataFrame, bad: DataFrame) -> DataFrame:
+    """base with __what: which of a page's own nodes and phrases go, found by joins on them; no host's removals are ever gathered."""
 
-    return df.withColumn("__host", host(F.col("__url")))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for url, html, k1, k2 in zip(b["__url"], b["__html"], b["__k1"], b["__k2"]):
+                page, host = parse(html), host_of(url)
+                own = {x for p, t in page.blocks for x in _removals(p, t)} | {x for p in {p for p, _ in page.blocks} for k in range(1, len(p) + 1) for x in _removals(p[:k])}
+                rows += [(k1, k2, host, x) for x in own]
+            yield pd.DataFrame(rows, columns=["__k1", "__k2", "host", "what"])
+
+    key = [F.xxhash64("__url", "__html").alias("__k1"), F.xxhash64(F.lit(1), "__html", "__url").alias("__k2")]
+    keyed = base.withColumns({"__k1": key[0], "__k2": key[1]})
+    own = keyed.select("__url", "__html", "__k1", "__k2").mapInPandas(run, "__k1 bigint, __k2 bigint, host string, what string")
+    found = own.join(bad, ["host", "what"]).groupBy("__k1", "__k2").agg(F.collect_set("what").alias("__what"))
+    return keyed.join(found, ["__k1", "__k2"], "left").drop("__k1", "__k2")

@@ -452,3 +452,38 @@ def test_license_query_finds_every_notice(spark):
     notices = [t for _, t in licenses.TEMPLATES]
     want = {i for i, t in texts.items() if any(line.strip() in notices for line in t.split("\n"))}
     assert {r.doc_id for r in queries.op9_license_scan(spark, sf).where("license IS NOT NULL").collect()} == want
+
+
+def hide_names(html):
+    """The page with every landmark element as a div and every class as an opaque word: only structure and texts tell."""
+    word = lambda w: "x" + hashlib.md5(w.encode()).hexdigest()[:6]
+    for tag in ("nav", "article", "footer", "aside", "header", "main", "form"):
+        html = re.sub(rf"<{tag}\b[^>]*>", f'<div class="{word(tag)}">', html).replace(f"</{tag}>", "</div>")
+    return re.sub(r'class="(ad)"', lambda m: f'class="{word(m[1])}"', html)
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_style_tree_decides_without_names(spark, monkeypatch, most):
+    """With names hidden, entropy alone gives the texts; with most=0 each page is joined with its own removals."""
+    if most is not None:
+        monkeypatch.setattr(sitetree, "REMOVAL_BYTES", most)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        main = r.html.split("<article>")[1].split("</article>")[0]
+        parts = [re.sub(r"\s+", " ", html_lib.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " ")))).strip() for p in re.split("<p>|<h1>", main)]
+        want[r.page_id] = "\n".join(p for p in parts if p)
+    hidden = spark.createDataFrame([(r.page_id, r.url, hide_names(r.html)) for r in pages.collect()], pages.select("page_id", "url", "html").schema)
+    got = {r.page_id: r.text for r in sitetree.extract_text(hidden).collect()}
+    assert sum(got[k] == want[k] for k in want) >= 0.95 * len(want)
+
+
+def test_html_repeats_and_long_pages(spark):
+    long = "<div class='post'>" + "".join(f"<p>Part {k} of a long text.</p>" for k in range(5000)) + "</div>"
+    rows = [(1, None, long), (1, None, long), (None, "http://a.b/", "<p>no id</p>"), (2, "http://a.b/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(7)).withColumn("host", F.lit("x")).withColumn("sig", F.lit(1))
+    got = collections.defaultdict(list)
+    for r in sitetree.extract_text(df).collect():
+        got[r.page_id].append((r.text, r.n_chars, r.host, r.sig))
+    want = "\n".join(f"Part {k} of a long text." for k in range(5000))
+    assert got == {1: [(want, len(want), "x", 1)] * 2, None: [("no id", 5, "x", 1)], 2: [("", 0, "x", 1)]}
