@@ -22,7 +22,7 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -200,32 +200,37 @@ def phrases(text: str) -> dict[int, int]:
 
 
 def _found(pages: DataFrame) -> DataFrame:
-    """(host, sig, page, found): signature and hash of each page, with the child sequences of its nodes and the phrases at their nodes, but for what names make noise."""
+    """(host, sig, page, found): signature and hash of each page, with the child sequences of its nodes and the
+    phrases at their nodes, but for what names make noise.  A node's number is the hash of host and path."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: set[tuple[str, int]] = set()
         for batch in batches:
-            rows, known = [], set()
+            rows = []
             for url, html in zip(batch["url"], batch["html"]):
                 page, host = parse(html), host_of(url)
                 sig = _signature(page)
-                if (host, sig) in known:
+                if (host, sig) in known:  # of very many copies, a task hands on one
                     continue
+                if len(known) >= 100_000:
+                    known.clear()
                 known.add((host, sig))
                 below: dict[tuple, list[str]] = {}
                 for up, label in page.children:
                     below.setdefault(up, []).append(label)
                     below.setdefault((*up, label), [])
-                styles = [{"path": "/".join(path), "feature": phrase_hash(" ".join(labels))} for path, labels in below.items() if path and not _noise(path)]
                 at: dict[tuple, dict[int, int]] = {}
                 for path, text in page.blocks:
                     if path and not _noise(path):
                         at.setdefault(path, {}).update(phrases(text))
-                uses = [{"path": "/".join(path), "feature": h, "size": n} for path, found in at.items() for h, n in found.items()]
+                number = lambda path: phrase_hash(f"{host}\n{'/'.join(path)}")  # noqa: E731, B023
+                styles = [{"path": "/".join(path), "node": number(path), "feature": phrase_hash(" ".join(labels))} for path, labels in below.items() if path and not _noise(path)]
+                uses = [{"node": number(path), "features": list(got), "sizes": list(got.values())} for path, got in at.items()]
                 rows.append((host, sig, phrase_hash(html or ""), {"styles": styles, "uses": uses}))
             yield pd.DataFrame(rows, columns=["host", "sig", "page", "found"])
 
-    schema = "host string, sig bigint, page bigint, found struct<styles: array<struct<path: string, feature: bigint>>, uses: array<struct<path: string, feature: bigint, size: int>>>"
-    return pages.select("url", "html").mapInPandas(run, schema)
+    found = "struct<styles: array<struct<path: string, node: bigint, feature: bigint>>, uses: array<struct<node: bigint, features: array<bigint>, sizes: array<int>>>>"
+    return pages.select("url", "html").mapInPandas(run, f"host string, sig bigint, page bigint, found {found}")
 
 
 def _in_article(path) -> Column:
@@ -238,27 +243,30 @@ def low_importance(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     path/=hash for a phrase that at least half of the host's pages have at a node that stays."""
     scratch = Scratch(pages.sparkSession)
     # copies of a page count once on their host, and once in how many pages use a phrase
-    once = scratch.put(_found(pages).groupBy("host", "sig").agg(F.min_by("found", "page").alias("f")).select("host", "sig", "f.*"))
-    lead = once.groupBy("sig").agg(F.min("host").alias("host"))
-    known = once.join(lead, ["sig", "host"]).select(F.explode(F.array_distinct(F.col("uses.feature"))).alias("feature")).groupBy("feature").agg(F.count("*").alias("all"))
-    uses = once.select("host", F.explode("uses").alias("u")).select("host", "u.*").groupBy("host", "path", "feature").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    styles = once.select("host", F.explode("styles").alias("s")).select("host", "s.*").groupBy("host", "path", "feature").agg(F.count("*").alias("n"))
+    once = _found(pages).repartition("sig").groupBy("sig", "host").agg(F.min_by("found", "page").alias("f"))
+    once = scratch.put(once.select("host", "f.*", (F.row_number().over(Window.partitionBy("sig").orderBy("host")) == 1).cast("int").alias("lead")))
+    styles = once.select("host", F.explode("styles").alias("s")).select("host", "s.*").groupBy("host", "path", "node", "feature").agg(F.count("*").alias("n"))
     styles = scratch.put(styles)
+    uses = once.select("lead", F.explode("uses").alias("u")).select("lead", "u.node", F.explode(F.arrays_zip("u.features", "u.sizes")).alias("x"))
+    uses = uses.select("node", F.col("x.features").alias("feature"), F.col("x.sizes").alias("size"), "lead")
+    uses = uses.groupBy("node", "feature").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.sum("lead").alias("lead")).repartition("feature")
+    known = uses.groupBy("feature").agg(F.sum("lead").alias("all"))
     # a phrase that half of a host's pages have at a node is the host's own; the node is judged by the others
-    have = styles.groupBy("host", "path").agg(F.sum("n").alias("m"))
+    have = styles.groupBy("host", "path", "node").agg(F.sum("n").alias("m"))
     fixed = (F.col("n") > 1) & (2 * F.col("n") >= F.col("m"))
-    uses = scratch.put(uses.join(known, "feature", "left").join(have, ["host", "path"]).withColumn("all", F.greatest("all", "n")).withColumn("fixed", fixed))
+    uses = uses.join(known, "feature").join(have, "node").select("host", "path", "feature", "n", "size", F.greatest("all", "n").alias("all"), fixed.alias("fixed"))
+    uses = scratch.put(uses)
     scratch.drop(once)
     every = lambda df: df.unionByName(df.withColumn("host", F.lit("*")))
     # the phrases' entropies add up along a branch, so they are summed at their own node first and then at the nodes above
     mass = F.col("n") * F.col("size")
     dull = mass * F.least(F.lit(1.0), F.log("all") / math.log(COMMON))
-    own = every(uses.where("NOT fixed").drop("m", "fixed")).groupBy("host", "path").agg(F.sum(mass).alias("mass"), F.sum(dull).alias("dull"))
+    own = every(uses.where("NOT fixed")).groupBy("host", "path").agg(F.sum(mass).alias("mass"), F.sum(dull).alias("dull"))
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     content = own.withColumn("up", F.explode(above)).groupBy("host", F.col("up").alias("path")).agg(F.sum("mass").alias("mass"), F.sum("dull").alias("dull"))
     # one child sequence for each page, so their counts add up to the pages that have the node
-    s = every(styles).groupBy("host", "path", "feature").agg(F.sum("n").alias("n"))
+    s = every(styles.drop("node")).groupBy("host", "path", "feature").agg(F.sum("n").alias("n"))
     s = s.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("k"))
     m = F.greatest(F.col("m"), F.lit(2)).cast("double")
     pres = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log(m) * F.col("m") - F.col("nlogn")) / (F.col("m") * F.log(m))))
