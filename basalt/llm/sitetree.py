@@ -249,19 +249,21 @@ def low_importance(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     styles = scratch.put(styles)
     uses = once.select("lead", F.explode("uses").alias("u")).select("lead", "u.node", F.explode(F.arrays_zip("u.features", "u.sizes")).alias("x"))
     uses = uses.select("node", F.col("x.features").alias("feature"), F.col("x.sizes").alias("size"), "lead")
-    uses = uses.groupBy("node", "feature").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.sum("lead").alias("lead")).repartition("feature")
-    known = uses.groupBy("feature").agg(F.sum("lead").alias("all"))
+    # phrases that stand once are summed by node; the others are counted, the common ones by AQE's splitting of the join
+    known = uses.groupBy("feature").agg(F.sum("lead").alias("all"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    uses = uses.join(known, "feature", "left").withColumn("feature", F.when(F.col("all").isNotNull(), F.col("feature")))
+    uses = uses.groupBy("node", "feature").agg(F.count("*").alias("n"), F.sum("size").alias("mass"), F.max("all").alias("all"))
     # a phrase that half of a host's pages have at a node is the host's own; the node is judged by the others
     have = styles.groupBy("host", "path", "node").agg(F.sum("n").alias("m"))
-    fixed = (F.col("n") > 1) & (2 * F.col("n") >= F.col("m"))
-    uses = uses.join(known, "feature").join(have, "node").select("host", "path", "feature", "n", "size", F.greatest("all", "n").alias("all"), fixed.alias("fixed"))
+    fixed = F.col("feature").isNotNull() & (F.col("n") > 1) & (2 * F.col("n") >= F.col("m"))
+    pages_with = F.when(F.col("feature").isNull(), 1).otherwise(F.greatest("all", "n"))
+    uses = uses.join(have, "node").select("host", "path", "feature", "mass", pages_with.alias("all"), fixed.alias("fixed"))
     uses = scratch.put(uses)
     scratch.drop(once)
     every = lambda df: df.unionByName(df.withColumn("host", F.lit("*")))
     # the phrases' entropies add up along a branch, so they are summed at their own node first and then at the nodes above
-    mass = F.col("n") * F.col("size")
-    dull = mass * F.least(F.lit(1.0), F.log("all") / math.log(COMMON))
-    own = every(uses.where("NOT fixed")).groupBy("host", "path").agg(F.sum(mass).alias("mass"), F.sum(dull).alias("dull"))
+    dull = F.col("mass") * F.least(F.lit(1.0), F.log("all") / math.log(COMMON))
+    own = every(uses.where("NOT fixed")).groupBy("host", "path").agg(F.sum("mass").alias("mass"), F.sum(dull).alias("dull"))
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     content = own.withColumn("up", F.explode(above)).groupBy("host", F.col("up").alias("path")).agg(F.sum("mass").alias("mass"), F.sum("dull").alias("dull"))
