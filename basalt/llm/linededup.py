@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 WINDOW = 3
+#: Bytes of repeated positions up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def _lines(text) -> Column:
@@ -26,17 +30,18 @@ def _windows(lines: Column) -> Column:
     return F.when(F.size(lines) >= WINDOW, hashed)
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): the positions of lines that repeated windows cover, for documents that have some.
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, starts): the sorted positions of repeated windows, for documents that have some.
 
     Occurrences of a window are ordered by doc_id, then position; all but the first are repeats.  The
-    first occurrence and the count come from one grouped minimum with map-side combine; only hashes
-    and positions are shuffled, never texts.
+    hashes are written once; first occurrence and count come from one grouped minimum with map-side
+    combine, and the join with it is split by AQE where one window is very common.
     """
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.explode(_windows(_lines(F.col("text")))).alias("w")).select("doc_id", "w.*")
+    rows = Scratch(docs.sparkSession).put(rows)
     first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = rows.join(first, ["h1", "h2"]).where("NOT (doc_id = first.doc_id AND pos = first.pos)")
-    return later.groupBy("doc_id").agg(F.flatten(F.collect_set(F.sequence("pos", F.col("pos") + WINDOW - 1))).alias("gone"))
+    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -45,14 +50,24 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     Lines are parted by newline only.  Texts of fewer than three lines stay as they are, as do
     null and empty texts, windows of blank lines, and rows without a doc_id.  Rows that share one
     doc_id count as one document: their windows at one position are one occurrence.  A text all of
-    whose lines go becomes ''.  A column n_removed of docs is replaced.
+    whose lines go becomes ''.  A column n_removed of docs is replaced.  Positions of repeats are
+    broadcast to the texts while they take at most BROADCAST_BYTES; beyond that texts are shuffled to them.
     """
     docs = docs.drop("n_removed")
-    gone = repeated_lines(docs.select("doc_id", F.col(text).alias("text"))).withColumnRenamed("doc_id", "__id")
-    out = docs.join(gone, docs["doc_id"] == gone["__id"], "left")
-    kept = F.array_join(F.filter(_lines(F.col(text)), lambda _, k: ~F.array_contains("gone", k)), "\n")
-    n = F.coalesce(F.size(F.array_distinct("gone")), F.lit(0)).cast("long")
-    return out.select(*[(F.when(F.col("gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else docs[c]) for c in docs.columns], n.alias("n_removed"))
+    gone = repeated_windows(docs.select("doc_id", F.col(text).alias("text"))).select(F.col("doc_id").alias("__id"), "starts")
+    gone = Scratch(docs.sparkSession).put(gone)
+    size = gone.agg(F.sum(F.size("starts") * 4 + 40)).first()[0] or 0
+    out = docs.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, docs["doc_id"] == gone["__id"], "left")
+    # what stays lies between one repeat's end and the next one's start, so overlapping repeats need no merging
+    lines = _lines(F.col(text))
+    ends = F.concat(F.array(F.lit(0)), F.transform("starts", lambda p: p + WINDOW))
+    gaps = F.zip_with(ends, F.concat("starts", F.array(F.size(lines))), lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
+    gaps = F.filter(gaps, lambda g: g["n"] > 0)
+    kept = F.array_join(F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["a"] + 1, g["n"]))), "\n")
+    n = F.size(lines) - F.aggregate(gaps, F.lit(0), lambda t, g: t + g["n"])
+    same = F.col("starts").isNull()
+    out = out.select("*", F.when(same, F.col(text)).otherwise(kept).alias("__kept"), F.when(same, 0).otherwise(n).cast("long").alias("n_removed"))
+    return out.select(*[F.col("__kept").alias(c) if c == text else docs[c] for c in docs.columns], "n_removed")
 
 
 #: The same result in DuckDB SQL, over a relation documents(doc_id, text, ...).

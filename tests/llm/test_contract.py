@@ -487,3 +487,12 @@ def test_html_repeats_and_long_pages(spark):
         got[r.page_id].append((r.text, r.n_chars, r.host, r.sig))
     want = "\n".join(f"Part {k} of a long text." for k in range(5000))
     assert got == {1: [(want, len(want), "x", 1)] * 2, None: [("no id", 5, "x", 1)], 2: [("", 0, "x", 1)]}
+
+
+def test_line_dedup_with_shuffled_positions(spark, odd, monkeypatch):
+    """The join beyond BROADCAST_BYTES gives the same rows."""
+    want = sorted(map(repr, linededup.dedup_lines(odd).collect()))
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", -1)
+    assert sorted(map(repr, linededup.dedup_lines(odd).collect())) == want
+    c = oracle.connect("/root/testdata/sf0.001")
+    assert oracle.difference(queries.op3_line_dedup(spark, "/root/testdata/sf0.001"), c, linededup.SQL) == ""
