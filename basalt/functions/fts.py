@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .udfs import bound
+
 # Limits, stop words, rank weights.
 MAX_POSITION, MAX_POSITIONS = 16_383, 256
 STOP = frozenset(
@@ -297,7 +299,7 @@ def _batch(f, kind: str):
     def run(*cols: pd.Series) -> pd.Series:
         return pd.Series([None if any(v is None for v in row) else f(*row) for row in zip(*cols)], dtype=object)
 
-    return run
+    return bound(run)
 
 
 def to_tsvector(text, config: str = "english"):

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .udfs import bound
+
 
 def _batch(f, kind: str):
     """A NULL-strict Column function that maps values batch by batch."""
@@ -18,7 +20,7 @@ def _batch(f, kind: str):
             return pd.Series(out, dtype=object)
 
         run.__annotations__ = {"cols": pd.Series, "return": pd.Series}
-        return F.pandas_udf(run, kind)(*columns)
+        return bound(F.pandas_udf(run, kind))(*columns)
 
     return call
 

@@ -45,7 +45,7 @@ def register_sql(name: str, spark_sql: str, oracle: str | None = None) -> None:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import aggregation, expressions, functions, relational, special, tpch, windowing  # noqa: F401
+    from . import aggregation, expressions, functions, relational, special, surface, tpch, windowing  # noqa: F401
 
 
 load()

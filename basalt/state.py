@@ -62,7 +62,7 @@ class Session:
         """One statement; $1, $2 .. are arguments."""
         marked = re.sub(r"\$(\d+)", lambda m: f":p{m[1]}", text)
         spark_sql = dialect.translate(marked).replace(": p", ":p")
-        return self.spark.sql(spark_sql, args={f"p{k}": a for k, a in enumerate(args, 1)}) if args else self.spark.sql(spark_sql)
+        return dialect.settle(self.spark, spark_sql, {f"p{k}": a for k, a in enumerate(args, 1)})
 
     def prepare(self, name: str, text: str) -> None:
         if name in self.prepared:

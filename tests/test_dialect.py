@@ -78,3 +78,34 @@ def test_views_and_routines(spark, t, tmp_path):
     s.set("n", 0)
     s.while_(lambda s: s.variables["n"] < 4, lambda s: s.set("n", s.sql("SELECT :n + 1").first()[0]))
     assert s.variables["n"] == 4
+
+
+def one(spark, text):
+    return run(spark, "SELECT " + text)[0]
+
+
+def test_meanings_that_hang_on_types(spark, t):
+    from decimal import Decimal
+
+    assert one(spark, "7/2, 7/2.0, (7)/(2)/2, '12.345'::numeric, round(2.5::float8), round(2.5)") == (3, Decimal("3.5"), 1, Decimal("12.345"), 2.0, 3)
+    assert run(spark, "SELECT id/2 AS h FROM dialect_t WHERE id IN (SELECT max(id)/2*2 FROM dialect_t)") == [(2,)]
+    assert one(spark, "sum(x.generate_series + 9223372036854775800) FROM generate_series(1, 3) AS x") == (Decimal(27670116110564327406),)
+    assert one(spark, "7::float8 / 2::float8, CAST(7 AS DOUBLE) / CAST(2 AS DOUBLE)") == (3.5, 3.5)
+
+
+def test_library_functions(spark):
+    assert one(spark, "left('abc',-1), right('abc',-1), regexp_replace('aXbX','X','-'), log(100.0), trim('xax','x'), substr('hello',0,3), initcap('o-neil x_y')") == ("ab", "bc", "a-bX", 2.0, "a", "he", "O-Neil X_Y")
+    assert one(spark, "string_agg(x.s, '-' ORDER BY x.n DESC), array_agg(x.n ORDER BY x.n), json_agg(x.n ORDER BY x.n DESC) FROM (VALUES ('a', 1), ('b', NULL), ('c', 3)) AS x(s, n)") == ("b-c-a", [1, 3, None], "[null, 3, 1]")
+    with pytest.raises(ValueError):
+        one(spark, "initcap('a', 'b', 'c')")
+    with pytest.raises(ValueError):
+        one(spark, "left('abc', x.id) FROM (SELECT 1 AS id) x")
+
+
+def test_operators(spark):
+    assert one(spark, """'{"a":{"b":[1,2]}}' -> 'a' -> 'b' ->> 1, '{"a":{"b":2}}' #>> '{a,b}', '{"a":1}'::jsonb ? 'a', '{"a":1}' @> '{"a":2}'""") == ("2", "2", True, False)
+    assert one(spark, "'foobar' ~ '^foo', 'FOO' ~* 'foo', 'x' !~ 'y', 'a' || 'b' ~ 'ab$', 'a.b' ~ 'a\\.b', 1 + 2 ^ 3 * 2") == (True, True, True, True, True, 17.0)
+    assert one(spark, "ARRAY[1,2,3] @> ARRAY[2], int4range(1,5) @> 5, ARRAY[1,2] && ARRAY[2,3], ARRAY[1] || ARRAY[2], (ARRAY[10,20,30])[2], (ARRAY[10,20,30])[9], (ARRAY[10,20,30])[2:3]") == (True, False, True, [1, 2], 20, None, [20, 30])
+    assert one(spark, "5 # 3, 1 << 4, -8 >> 1, ~5, ARRAY[3.0, 4.0] <-> ARRAY[0.0, 0.0]") == (6, 16, -4, -6, 5.0)
+    with pytest.raises(Exception, match="ARRAY"):
+        one(spark, "x.v <=> 5 FROM (SELECT 1 AS v) x")
