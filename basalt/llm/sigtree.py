@@ -300,9 +300,9 @@ def _contested(own: DataFrame, lab: DataFrame) -> DataFrame:
     rows = own.join(small(lab, ID_ROWS), "doc_id").select("doc_id", "block", "comp", "h", "n")
     rows = rows.mapInArrow(run, "doc_id bigint, block bigint, comp bigint, n bigint, x array<bigint>")
     rows = rows.select("doc_id", "block", "comp", "n", F.explode("x").alias("x"))
-    w = Window.partitionBy("block", "x")
-    met = rows.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo <> hi")
-    met = met.groupBy("doc_id", "n").agg(F.count("*").alias("met")).where(F.col("met") * 100 >= F.col("n") * PERCENT)
+    # a shingle that all of a block share is combined before the shuffle, and gathered nowhere
+    several = rows.groupBy("block", "x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("block", "x")
+    met = rows.join(small(several, ID_ROWS), ["block", "x"]).groupBy("doc_id", "n").agg(F.count("*").alias("met")).where(F.col("met") * 100 >= F.col("n") * PERCENT)
     return lab.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
@@ -342,7 +342,7 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     sizes = sized.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("k") / CHUNK), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int")
     sizes = sizes.where("k > 1").select("block", chunks.alias("chunks"))
-    placed = scratch.put(sized.join(sizes, "block").select("doc_id", "block", "chunks", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk")).distinct())
+    placed = scratch.put(sized.join(small(sizes), "block").select("doc_id", "block", "chunks", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk")).distinct())
     scratch.drop()
     sets_in = lambda p: own.select("doc_id", "h").join(small(p, ID_ROWS), "doc_id")
     whole = placed.where("chunks = 1").select("doc_id", "block", F.col("doc_id").alias("comp"), F.lit(0).alias("side"))
@@ -359,7 +359,7 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
         for _ in range(2):  # the second time without what the first has ruled out
             lab = scratch.put(_contested(own, lab))
         left = lab.join(own.select("doc_id", "n"), "doc_id").groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
-        lab = scratch.put(lab.join(left.select("block", chunks.alias("chunks")), "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")))
+        lab = scratch.put(lab.join(small(left.select("block", chunks.alias("chunks"))), "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")))
         same = lab.select("doc_id", "block", "comp", F.col("chunk").alias("c1"), F.col("chunk").alias("c2"), F.lit(0).alias("side"))
         cells = lab.select("doc_id", "block", "comp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).where("chunk <> other")
         cells = cells.select("doc_id", "block", "comp", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))

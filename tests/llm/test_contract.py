@@ -496,3 +496,16 @@ def test_line_dedup_with_shuffled_positions(spark, odd, monkeypatch):
     assert sorted(map(repr, linededup.dedup_lines(odd).collect())) == want
     c = oracle.connect("/root/testdata/sf0.001")
     assert oracle.difference(queries.op3_line_dedup(spark, "/root/testdata/sf0.001"), c, linededup.SQL) == ""
+
+
+def test_jaccard_of_a_block_above_the_default_chunk(spark):
+    random.seed(11)
+    base = [f"w{random.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for k in range(sigtree.CHUNK + 400):
+        w = list(base)
+        for _ in range(random.choice([1, 2, 3, 4, 6, 9])):
+            w[random.randrange(len(w))] = f"v{random.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in sigtree.jaccard_components(df).collect()} == jaccard(rows)
