@@ -10,6 +10,7 @@ from .linededup import SQL as LINE_DEDUP_SQL
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with held_out, score and predicted; the model is fitted on labels that are not held out."""
     from .quality import held_out, score_documents, train
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -18,6 +19,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its expected severity and P(toxic); labels mark 0 or 1, so grades above 1 are by cue words."""
     from .toxicity import held_out, score_documents, train
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -37,36 +39,42 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, edits, similarity, end_word) for every benchmark item that a document leaks."""
     from .decontaminate import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines of repeated three-line windows, and how many went."""
     from .linededup import dedup_lines
 
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of shingles and the smallest doc_id that links reach."""
     from .sigtree import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its number of links, its component and whether it is kept."""
     from .itq import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its main text and that text's length in code points."""
     from .sitetree import extract_text
 
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of the probe, read back from the formatted texts."""
     from .chat import format_conversations, read_back
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -76,6 +84,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
     from .bpe import encode_documents
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
