@@ -286,7 +286,7 @@ def _block_edges(sets: DataFrame) -> DataFrame:
     return sets.select("doc_id", "h").mapInArrow(run, "kind int, x bigint, y bigint")
 
 
-def _contested(own: DataFrame, lab: DataFrame) -> DataFrame:
+def _contested(own: DataFrame, lab: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of lab (doc_id, block, comp) that can link with another component of their block.
 
     A document that links with one has three quarters of its shingles in other components.
@@ -302,6 +302,7 @@ def _contested(own: DataFrame, lab: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "block", "comp", "n", F.explode("x").alias("x"))
     # a shingle that all of a block share is combined before the shuffle, and gathered nowhere
     several = rows.groupBy("block", "x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("block", "x")
+    several = scratch.put(several)
     met = rows.join(small(several, ID_ROWS), ["block", "x"]).groupBy("doc_id", "n").agg(F.count("*").alias("met")).where(F.col("met") * 100 >= F.col("n") * PERCENT)
     return lab.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
 
@@ -357,7 +358,7 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
             comp = components(spark, edges, scratch).withColumnRenamed("id", "doc_id")
             lab = scratch.put(lab.select("doc_id", "block").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")))
         for _ in range(2):  # the second time without what the first has ruled out
-            lab = scratch.put(_contested(own, lab))
+            lab = scratch.put(_contested(own, lab, scratch))
         left = lab.join(own.select("doc_id", "n"), "doc_id").groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
         lab = scratch.put(lab.join(small(left.select("block", chunks.alias("chunks"))), "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")))
         same = lab.select("doc_id", "block", "comp", F.col("chunk").alias("c1"), F.col("chunk").alias("c2"), F.lit(0).alias("side"))
