@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -64,11 +66,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def release() -> None:
+    """Give memory that finished batches held back to the system: workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that what is made of a batch stays small."""
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+        release()
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
@@ -85,6 +95,8 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]
                     c.append(v)
     if held:
         yield held
+    held = None
+    release()
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +123,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield drain()
             up.clear()
     yield drain()
+    up.clear()
+    release()
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
