@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers.models import BPE
 
-from .common import slices
+from .common import release, slices
 
 #: The pattern of byte-level BPE pre-tokenization.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -85,6 +85,10 @@ class _Cache(dict):
             self.held += ENTRY + 2 * len(key) + len(out)
         return out
 
+    def empty(self) -> None:
+        self.clear()
+        self.old, self.held = {}, 0
+
 
 def latin_pattern() -> re.Pattern:
     """PATTERN for texts of code points up to U+023F, with its classes written out."""
@@ -153,6 +157,11 @@ class ForcedBoundaryBpe:
             return self._plain(text)
         return b"".join(np.array([self.special[s]], "<u4").tobytes() if s in self.special else self._plain(s) for s in self.split.split(text) if s)
 
+    def forget(self) -> None:
+        """Empty the caches, so that a worker that is kept for later stages does not hold them."""
+        self.parts.empty()
+        self.pieces.empty()
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
@@ -202,5 +211,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, text: str =
                 for c, v in zip(cols, row):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c, kinds[k]) for c, k in zip(cols, made.values()))], names=[*keep, *made])
+        bpe.forget()
+        release()
 
     return base.mapInArrow(run, schema)
