@@ -66,6 +66,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def narrow_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Send at most `rows` rows at a time to Python: the JVM's buffers for wide rows lie outside its heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def release() -> None:
     """Give memory that finished batches held back to the system: workers are kept for later stages."""
     pa.default_memory_pool().release_unused()
