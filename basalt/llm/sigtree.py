@@ -339,6 +339,7 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     near = _block_edges(own)
     opened = near.where("kind = 1").select("x", "y").withColumn("m", F.min("y").over(Window.partitionBy("x")))
     edges = near.where("kind = 0").selectExpr("x AS a", "y AS b").unionByName(opened.where("m <> y").selectExpr("m AS a", "y AS b").distinct())
+    edges = scratch.put(edges)  # else each task would hold two Python workers at once
     block = components(spark, edges, scratch).withColumnRenamed("id", "doc_id").withColumnRenamed("comp", "block")
     sized = own.select("doc_id", "n").join(block, "doc_id")
     sizes = sized.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
