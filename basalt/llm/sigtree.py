@@ -331,8 +331,11 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     sizes_of = scratch.put(base.select("doc_id", F.col("n").alias("n_shingles")))
     scratch.drop(base)
     keys = scratch.put(_sets(docs.join(small(alive, ID_ROWS), "doc_id", "left_semi")).drop("h", "m"))
-    classes = keys.groupBy("n", "key1", "key2").agg(F.min("doc_id").alias("rep"))
-    member = scratch.put(keys.join(classes, ["n", "key1", "key2"]).select("doc_id", "rep").distinct())
+    # only sets that stand more than once need their class; the copies of one need no common task
+    classes = keys.groupBy("n", "key1", "key2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k")
+    classes = scratch.put(classes)
+    member = keys.join(small(classes, ID_ROWS), ["n", "key1", "key2"], "left")
+    member = scratch.put(member.select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct())
     reps = member.select(F.col("rep").alias("doc_id")).distinct()
     # the sets of one document of each class; the rows of a repeated doc_id all stay
     own = scratch.put(_sets(docs.join(small(reps, ID_ROWS), "doc_id", "left_semi")).select("doc_id", "n", "h", "m"))
