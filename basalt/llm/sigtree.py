@@ -12,8 +12,10 @@ common tree only if the prefix filter lets them link at all:
     block; every link lies inside one block.
 3.  The tree of a block is joined with itself.  In a block too large for one tree, documents of an
     equal smallest hash meet first, in three rounds of other hashes.  What then still has three
-    quarters of its shingles in other components of its block is put into chunks, and the trees of
-    any two chunks are joined.  Pairs that are already connected are skipped: only components count.
+    quarters of its shingles in other components of its block is dealt into blocks again, by the
+    prefix filter with the rarest shingles first.  Those of them that are too large for one tree are
+    put into chunks, and the trees of any two chunks are joined.  Pairs that are already connected
+    are skipped: only components count.
 """
 
 from __future__ import annotations
@@ -286,11 +288,8 @@ def _block_edges(sets: DataFrame) -> DataFrame:
     return sets.select("doc_id", "h").mapInArrow(run, "kind int, x bigint, y bigint")
 
 
-def _contested(own: DataFrame, lab: DataFrame) -> DataFrame:
-    """The rows of lab (doc_id, block, comp) that can link with another component of their block.
-
-    A document that links with one has three quarters of its shingles in other components.
-    """
+def _shingles(own: DataFrame, lab: DataFrame) -> DataFrame:
+    """(doc_id, block, comp, n, x): every shingle hash of the documents of lab (doc_id, block, comp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -299,13 +298,40 @@ def _contested(own: DataFrame, lab: DataFrame) -> DataFrame:
 
     rows = own.join(small(lab, ID_ROWS), "doc_id").select("doc_id", "block", "comp", "h", "n")
     rows = rows.mapInArrow(run, "doc_id bigint, block bigint, comp bigint, n bigint, x array<bigint>")
-    rows = rows.select("doc_id", "block", "comp", "n", F.explode("x").alias("x"))
+    return rows.select("doc_id", "block", "comp", "n", F.explode("x").alias("x"))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """The rows whose hash stands in several components of its block, with the number k of rows that have it there."""
     w = Window.partitionBy("block", "x")
-    met = rows.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo <> hi")
-    met = met.groupBy("doc_id", "n").agg(F.count("*").alias("met")).where(F.col("met") * 100 >= F.col("n") * PERCENT)
+    return rows.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w), "k": F.count("*").over(w)}).where("lo <> hi").drop("lo", "hi")
+
+
+def _contested(own: DataFrame, lab: DataFrame) -> DataFrame:
+    """The rows of lab (doc_id, block, comp) that can link with another component of their block.
+
+    A document that links with one has three quarters of its shingles in other components.
+    """
+    met = _met(_shingles(own, lab)).groupBy("doc_id", "n").agg(F.count("*").alias("met")).where(F.col("met") * 100 >= F.col("n") * PERCENT)
     return lab.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+def _rare_edges(own: DataFrame, lab: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the documents of lab that can link with another component of their block.
+
+    The prefix filter again, with the rarest shingles first: those that no other component has count
+    as the rarest, then go those that few documents of lab have.  Linked documents share the first of
+    their common shingles, and at least three quarters of each set stand from there on.
+    """
+    need = F.ceil(F.col("n") * PERCENT / 100)
+    doc = Window.partitionBy("doc_id", "n")
+    rows = _met(_shingles(own, lab)).withColumns({"met": F.count("*").over(doc), "at": F.row_number().over(doc.orderBy("k", "x"))})
+    rows = rows.where(F.col("at") <= F.col("met") - need + 1).select("doc_id", "block", "comp", "x")
+    w = Window.partitionBy("block", "x")
+    rows = rows.withColumns({"a": F.min("doc_id").over(w), "lo": F.min("comp").over(w), "hi": F.max("comp").over(w)})
+    return rows.where("lo <> hi AND a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs.
 
@@ -362,8 +388,10 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
             edges = scratch.put(edges.unionByName(_joined(sets_in(met), ["block", "m", "part"])))
             comp = components(spark, edges, scratch).withColumnRenamed("id", "doc_id")
             lab = scratch.put(lab.select("doc_id", "block").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")))
-        for _ in range(2):  # the second time without what the first has ruled out
-            lab = scratch.put(_contested(own, lab))
+        lab = scratch.put(_contested(own, lab))
+        # by their rarest shingles these fall into blocks of their own, few of which are too large for one tree
+        block = components(spark, scratch.put(_rare_edges(own, lab)), scratch).withColumnRenamed("id", "doc_id").withColumnRenamed("comp", "block")
+        lab = scratch.put(lab.select("doc_id", "comp").join(block, "doc_id").select("doc_id", "block", "comp"))
         left = lab.join(own.select("doc_id", "n"), "doc_id").groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
         lab = scratch.put(lab.join(small(left.select("block", chunks.alias("chunks"))), "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")))
         same = lab.select("doc_id", "block", "comp", F.col("chunk").alias("c1"), F.col("chunk").alias("c2"), F.lit(0).alias("side"))

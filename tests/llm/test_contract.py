@@ -509,3 +509,26 @@ def test_jaccard_of_a_block_above_the_default_chunk(spark):
         rows.append((k, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in sigtree.jaccard_components(df).collect()} == jaccard(rows)
+
+
+def test_jaccard_last_step_sends_a_set_to_its_own_tree_only(spark, monkeypatch):
+    """All documents are in one block by a common passage, and every document's shingles are in others; few can link."""
+    random.seed(12)
+    common, rows = [f"c{k}" for k in range(60)], []
+    for family in range(60):
+        parts = [[f"f{family}p{p}w{k}" for k in range(60)] for p in range(4)]
+        for out in range(4):
+            rows.append([w for p in range(4) if p != out for w in parts[p]] + common)
+        near = list(rows[-1 - family % 4])
+        near[random.randrange(20, 160)] = near[random.randrange(20, 160)] = "edit"
+        rows.append(near)
+    random.shuffle(rows)
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    sent, joined = [], sigtree._joined
+    monkeypatch.setattr(sigtree, "_joined", lambda df, keys: sent.append(df.count()) or joined(df, keys))
+    monkeypatch.setattr(sigtree, "CHUNK", 16)
+    monkeypatch.setattr(sigtree, "ROUNDS", 0)  # else the last step has little left to link
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in sigtree.jaccard_components(df).collect()}
+    assert got == jaccard(rows) and len({c for _, c in got.values()}) == 240
+    assert len(sent) == 2 and sent[1] <= len(rows)
