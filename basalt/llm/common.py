@@ -141,17 +141,16 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None =
     Alternating large-star and small-star steps (Kiveris et al. 2014): every step is one grouped
     minimum with map-side combine and one join, so that a vertex of huge degree is never gathered;
     the number of steps grows with the logarithm of the longest path.  Each task first reduces its own
-    edges to a spanning forest; what is left is finished in one task where it has at most
-    ONE_TASK_EDGES edges, with the same result.
+    edges to a spanning forest; what is left, then or after a step, is finished in one task where it
+    has at most ONE_TASK_EDGES edges, with the same result.
     """
     scratch = scratch or Scratch(spark)
     e = scratch.put(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a bigint, b bigint"))
-    if e.count() <= ONE_TASK_EDGES:
-        e = scratch.put(e.repartition(1).mapInArrow(_forest, "a bigint, b bigint"))
-        return e.selectExpr("b AS id", "a AS comp").unionByName(e.selectExpr("a AS id", "a AS comp").distinct())
-    e = scratch.put(e.distinct())
-    before = None
-    while True:
+    n, before = e.count(), None
+    if n > ONE_TASK_EDGES:
+        e = scratch.put(e.distinct())
+        n = e.count()
+    while n > ONE_TASK_EDGES:
         # large star: each vertex hands its larger neighbours to its smallest neighbour
         both = e.unionByName(e.selectExpr("b AS a", "a AS b"))
         m = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -167,7 +166,10 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None =
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == now:
             break
-        before = now
+        n, before = now[0], now
+    else:
+        e = scratch.put(e.repartition(1).mapInArrow(_forest, "a bigint, b bigint"))
+        return e.selectExpr("b AS id", "a AS comp").unionByName(e.selectExpr("a AS id", "a AS comp").distinct())
     roots = e.groupBy("b").agg(F.min("a").alias("comp")).withColumnRenamed("b", "id")
     out = roots.unionByName(e.select(F.col("a").alias("id"), F.col("a").alias("comp")).distinct())
     return out.groupBy("id").agg(F.min("comp").alias("comp"))

@@ -532,3 +532,16 @@ def test_jaccard_last_step_sends_a_set_to_its_own_tree_only(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in sigtree.jaccard_components(df).collect()}
     assert got == jaccard(rows) and len({c for _, c in got.values()}) == 240
     assert len(sent) == 2 and sent[1] <= len(rows)
+
+
+def test_components_end_in_one_task_as_soon_as_few_edges_are_left(spark, monkeypatch):
+    """The forests of the tasks hold equal edges: too many at first, few once they are distinct."""
+    from basalt.llm import common
+
+    pairs = [(k - k % 10, k) for k in range(200) if k % 10]
+    df = spark.createDataFrame([p for _ in range(8) for p in pairs], "a long, b long").repartition(8)
+    steps, put = [], common.Scratch.put
+    monkeypatch.setattr(common.Scratch, "put", lambda self, df: steps.append(1) or put(self, df))
+    monkeypatch.setattr(common, "ONE_TASK_EDGES", len(pairs))
+    assert {r.id: r.comp for r in components(spark, df).collect()} == {k: k - k % 10 for k in range(200)}
+    assert len(steps) == 3
